@@ -3,12 +3,14 @@
 A document's set holds its distinct 5-word shingles (64-bit hashes). Two sets of similarity t share t of the
 larger one, so, in one global order of shingles, their prefixes of n - ceil(t n) + m shingles share at least
 m. The order is by rarity, from a sketch of all shingle counts; each document picks the m (and so the
-length) that an estimate of its candidates' cost favours, and a pair needs the lesser of its two m.
+length) that an estimate of its candidates' cost favours, and a pair needs the lesser of its two m. Of the
+two prefixes one ends first in the order; the rest of that document alone can add to the shared prefix
+shingles, which bounds the overlap from above and spares most pairs the comparison of their whole sets.
 
 1. One pass over the texts gives set sizes, 128-bit fingerprints of the sets and the sketch. Documents of equal
    sets are one class, and only its least doc_id goes on.
 2. A second pass gives prefixes. In each list of documents with a common prefix shingle all are linked to the
-   list's least document; each document verifies the one of these that it shares most shingles with. This
+   list's least document; each document verifies the one of these that it shares most shingles with, if enough. This
    finds groups of near copies with as many candidates as documents.
 3. Among documents of one list that are then still in different components all pairs that share enough
    prefix shingles are verified. No pair that could join two components is left out.
@@ -157,6 +159,13 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc long, shingles array<long>")
 
 
+def _enough(shared, n, need, m, other):
+    """Whether two sets of n and m shingles can be similar, by sizes and by the number of shared prefix shingles."""
+    overlap = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+    rest = F.greatest(F.ceil(PERCENT * n / 100) - need, F.ceil(PERCENT * m / 100) - other)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (shared >= F.greatest(F.least(need, other).cast("long"), overlap - rest))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, space: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = space.keep(pairs, f"{name}_pairs")
@@ -190,13 +199,15 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     listed = _prefixes(own, doc_id, text, sketch)
     around = Window.partitionBy("token", "salt")
-    listed = listed.withColumn("least", F.min("doc").over(around)).withColumn("most", F.max("doc").over(around))
-    listed = space.keep(listed.where("least <> most or salt > 0"), "listed")
+    me = F.struct("doc", "n", "need")
+    listed = listed.withColumn("least", F.min(me).over(around)).withColumn("most", F.max("doc").over(around))
+    listed = space.keep(listed.where("least.doc <> most or salt > 0"), "listed")
     tops = listed.where("salt > 0").groupBy("token", "least").agg(F.count(F.lit(1)).alias("c"))
     roots = tops.groupBy("token").agg(F.min("least").alias("root"))
-    across = tops.join(roots, "token").where("least <> root").select(F.col("root").alias("a"), F.col("least").alias("b"))
-    stars = listed.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).union(across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    across = tops.join(roots, "token").where("least.doc <> root.doc").select(F.col("root").alias("x"), F.col("least").alias("y"))
+    stars = listed.where("doc <> least.doc").select(F.col("least").alias("x"), me.alias("y")).union(across).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    stars = stars.where(_enough(F.col("shared"), F.col("x.n"), F.col("x.need"), F.col("y.n"), F.col("y.need")))
+    best = stars.groupBy(F.col("y.doc").alias("b")).agg(F.max(F.struct("shared", (-F.col("x.doc")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     links = _verified(best, docs, doc_id, text, space, "stars")
     near = components(links, space, "near").select(F.col("node").alias("doc"), "component")
 
@@ -207,8 +218,8 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     open_ = space.keep(placed.join(mixed, "token", "left_semi").distinct(), "open")
     x, y = open_.alias("x"), open_.alias("y")
     alike = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & alike).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.need", "y.need")).alias("need"))
-    rest = met.where("shared >= need").select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & alike).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"), *[F.min(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "need")])
+    rest = met.where(_enough(F.col("shared"), F.col("x_n"), F.col("x_need"), F.col("y_n"), F.col("y_need"))).select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(rest, docs, doc_id, text, space, "rest")
     group = components(links.union(more), space, "group")
     nodes = classes.join(group, "node", "left").select("a", "b", "n", F.coalesce("component", "node").alias("component"))
