@@ -13,7 +13,9 @@ shingles, which bounds the overlap from above and spares most pairs the comparis
    list's least document; each document verifies the one of these that it shares most shingles with, if enough. This
    finds groups of near copies with as many candidates as documents.
 3. Among documents of one list that are then still in different components all pairs that share enough
-   prefix shingles are verified. No pair that could join two components is left out.
+   prefix shingles are verified. No pair that could join two components is left out: pairs are passed over
+   only where a parity bitmap of each whole set (an element in one set alone flips at most one bit) shows
+   that the sets differ in more elements than similar sets can.
 
 Lists of shingles that the sketch calls hot are dealt out by a salt and joined by their least documents.
 Components are exact; links inside a component are not all counted.
@@ -48,6 +50,9 @@ SCAN_COST, VERIFY_COST = 1.0, 0.05
 HOT = 20_000
 #: Largest table of ids (8 bytes each) that is broadcast to choose documents; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of a set's parity bitmap.
+MAP_WORDS = 8
+MAP = [f"m{i}" for i in range(MAP_WORDS)]
 _SIGNED = np.int64
 
 
@@ -70,30 +75,37 @@ def choose_prefix(shingles: np.ndarray, sketch: np.ndarray, noise: float) -> tup
     return shingles[chosen], counts[chosen], need
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """Per bit whether an odd number of the set's shingles fall on it."""
+    bits = np.bincount(((shingles >> np.uint64(8)) % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(_SIGNED)
+
+
 def _first_pass(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, n, a, b) of each document and (slice, counts) of each partition's sketch."""
-    schema = "doc_id long, n long, a long, b long, slice int, counts binary"
+    """Rows (doc_id, n, a, b, parity map) of each document and (slice, counts) of each partition's sketch."""
+    schema = f"doc_id long, n long, a long, b long, {', '.join(f'{m} long' for m in MAP)}, slice int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, per = np.zeros(1 << SKETCH_BITS, np.int64), 1 << SLICE_BITS
-        names = ["doc_id", "n", "a", "b", "slice", "counts"]
+        names = ["doc_id", "n", "a", "b", *MAP, "slice", "counts"]
         for batch in batches:
-            sizes, a, b = [], [], []
+            sizes, a, b, maps = [], [], [], []
             for chunk in scan.chunks(batch.column(1)):
                 held = []
                 for _, s in scan.shingle_sets(chunk.fold(), SHINGLE):
                     sizes.append(len(s))
                     a.append(s.sum(dtype=np.uint64))
                     b.append(scan.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+                    maps.append(parity_map(s))
                     held.append(s)
                 every = np.concatenate(held) if held else np.zeros(0, np.uint64)
                 sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
             k = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(a, np.uint64).view(_SIGNED)), pa.array(np.array(b, np.uint64).view(_SIGNED)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(a, np.uint64).view(_SIGNED)), pa.array(np.array(b, np.uint64).view(_SIGNED)), *[pa.array(c) for c in np.array(maps, _SIGNED).reshape(k, MAP_WORDS).T], pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if sketch.any():
             parts = [sketch[i : i + per].astype("<u4").tobytes() for i in range(0, len(sketch), per)]
             none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none] * (4 + MAP_WORDS) + [pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
 
@@ -189,9 +201,11 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     space = Workspace(spark, "jaccard")
     docs = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).alias(text))
     first = space.keep(_first_pass(docs, doc_id, text), "first")
-    sizes = first.where("slice is null").drop("slice", "counts")
+    sizes = first.where("slice is null").select("doc_id", "n", "a", "b")
     sketch = spark.sparkContext.broadcast(_sketch(first))
-    classes = space.keep(sizes.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+    least = F.min(F.struct("doc_id", *MAP))
+    classes = first.where("slice is null and n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(least.alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = space.keep(classes.select("a", "b", "n", F.col("least.doc_id").alias("node"), "copies", *[f"least.{m}" for m in MAP]), "classes")
     # whoever is not the least of its class is left out; such rows are few beside the texts, or joined by a shuffle
     copies = sizes.where("n > 0").join(classes.where("copies > 1"), ["a", "b", "n"]).where("doc_id <> node").select(F.col("doc_id").alias(doc_id)).distinct()
     copies = space.keep(copies.join(classes.select(F.col("node").alias(doc_id)).distinct(), doc_id, "left_anti"), "copies")
@@ -215,9 +229,14 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     placed = listed.select("token", "doc", "n", "need").join(near, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = space.keep(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_ = space.keep(placed.join(mixed, "token", "left_semi").distinct(), "open")
+    open_ = placed.join(mixed, "token", "left_semi").distinct().join(classes.select(F.col("node").alias("doc"), *MAP), "doc")
+    open_ = space.keep(open_, "open")
     x, y = open_.alias("x"), open_.alias("y")
     alike = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
+    both, differ = F.col("x.n") + F.col("y.n"), F.lit(0)
+    for m in MAP:
+        differ = differ + F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}")))
+    alike = alike & (differ <= both - 2 * F.ceil(PERCENT * both / (100 + PERCENT)))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & alike).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"), *[F.min(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "need")])
     rest = met.where(_enough(F.col("shared"), F.col("x_n"), F.col("x_need"), F.col("y_n"), F.col("y_need"))).select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(rest, docs, doc_id, text, space, "rest")
