@@ -157,7 +157,8 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ranges = deleted_ranges(docs, doc_id, text).select(F.col("d").alias("__l_d"), F.col("t").alias("__l_t"), F.col("ranges").alias("__l_ranges"))
     # several texts of one doc_id meet the ranges of all of them; the text's hash picks its own
     per_id = ranges.groupBy("__l_d").agg(F.collect_list(F.struct("__l_t", "__l_ranges")).alias("__l_found"))
-    rows = docs.join(per_id, F.col(doc_id) == F.col("__l_d"), "left").drop("__l_d")
+    # by a shuffle at every size: the ranges grow with the corpus
+    rows = docs.join(per_id.hint("merge"), F.col(doc_id) == F.col("__l_d"), "left").drop("__l_d")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
