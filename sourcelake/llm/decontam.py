@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sourcelake.llm import scan
+from sourcelake.llm.shared import small_batches
 
 WINDOW, SHINGLE = 10, 3
 BLOCK_WINDOWS = 500_000
@@ -166,6 +167,7 @@ _PA = {"__d_n_words": pa.int64(), "__d_ranges": pa.list_(pa.struct([("lo", pa.in
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``__d_n_words``, ``__d_ranges`` (merged hit ranges of words) and ``__d_items``."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     docs = docs.select(*[c for c in docs.columns if keep is None or c in {*keep, text}])
     names = [c for c in docs.columns if keep is None or c in keep]

@@ -88,20 +88,28 @@ def _first_pass(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, per = np.zeros(1 << SKETCH_BITS, np.int64), 1 << SLICE_BITS
         names = ["doc_id", "n", "a", "b", *MAP, "slice", "counts"]
+        held, pending = [], 0
+
+        def count() -> None:
+            every = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            np.add(sketch, np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS), out=sketch)
+
         for batch in batches:
             sizes, a, b, maps = [], [], [], []
             for chunk in scan.chunks(batch.column(1)):
-                held = []
                 for _, s in scan.shingle_sets(chunk.fold(), SHINGLE):
                     sizes.append(len(s))
                     a.append(s.sum(dtype=np.uint64))
                     b.append(scan.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
                     maps.append(parity_map(s))
                     held.append(s)
-                every = np.concatenate(held) if held else np.zeros(0, np.uint64)
-                sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                    pending += len(s)
+                if pending > 1 << SKETCH_BITS:
+                    count()
+                    held, pending = [], 0
             k = len(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(a, np.uint64).view(_SIGNED)), pa.array(np.array(b, np.uint64).view(_SIGNED)), *[pa.array(c) for c in np.array(maps, _SIGNED).reshape(k, MAP_WORDS).T], pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        count()
         if sketch.any():
             parts = [sketch[i : i + per].astype("<u4").tobytes() for i in range(0, len(sketch), per)]
             none = pa.nulls(len(parts), pa.int64())
@@ -260,6 +268,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     space = Workspace(docs.sparkSession, "deduplicate")
     table = similarity_table(docs, doc_id, text)
-    gone = space.keep(table.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__j_id")).distinct(), "gone")
+    key = "__j_id"
+    while key in docs.columns:
+        key += "_"
+    gone = space.keep(table.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias(key)).distinct(), "gone")
     hinted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(hinted, F.col(doc_id) == F.col("__j_id"), "left_anti")
+    return docs.join(hinted, F.col(doc_id) == F.col(key), "left_anti")

@@ -8,12 +8,15 @@ substring's hash comes from two prefix sums. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+CHUNK = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, CHUNK * 2)
+        size = max(n, CHUNK + 1)
         up, down = np.full(size, _P), np.full(size, _PINV)
         up[0] = down[0] = 1
         _powers = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -114,6 +117,14 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK) -> Iterator[Ch
             yield Chunk(data[lo:hi], offsets[at : to + 1] - lo, first + at)
             at = to
         first += n
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system; a worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def owners(bounds: np.ndarray) -> np.ndarray:

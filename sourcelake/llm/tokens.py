@@ -33,9 +33,9 @@ from sourcelake.llm import scan
 from sourcelake.llm.shared import Workspace
 
 MAGIC, VERSION, BLOCK = b"SLTK", 1, 4096
-SHARD_TOKENS = 1 << 21
-#: Pieces whose ids a worker keeps before it starts anew: about 100 bytes each.
-KEPT_PIECES = 1_000_000
+SHARD_TOKENS = 1 << 20
+#: Pieces whose ids a worker keeps before it starts anew: about 40 bytes each.
+KEPT_PIECES = 400_000
 
 
 def bits(vocabulary: int) -> int:
@@ -134,7 +134,7 @@ class Encoder:
 
     def encode(self, column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of every text, in order."""
-        for chunk in scan.chunks(column, 1 << 20):
+        for chunk in scan.chunks(column):
             chunk = chunk.fold()
             data, n = chunk.data, len(chunk.data)
             word = ~scan.SPACE[data]
