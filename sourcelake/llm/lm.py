@@ -32,7 +32,7 @@ from sourcelake.llm.shared import Workspace
 #: Hash of the end token; no word has it, but for one chance in 2**64.
 END = np.uint64(0x5EED0FEE)
 CLASSES, WIDTH = 255, 16
-BATCH, NOISE, RATE = 8192, 24, 0.15
+BATCH, NOISE, RATE = 8192, 24, 0.03
 FREQUENT = 1 << 18
 #: Distinct tokens that a task counts before it hands the counts on.
 HELD = 1 << 20
