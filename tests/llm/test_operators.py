@@ -173,7 +173,7 @@ def test_jaccard(spark, odd, docs, none):
         size = Counter((i, len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if (w := words(t)) else 0) for i, t in source)
         assert Counter((r.doc_id, r.n_shingles) for r in got) == size
     kept = jaccard.deduplicate(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 7, 9, 11, 12]
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 7, 9, 11]  # 12 shares 16 of 21 shingles with 4
     assert jaccard.similarity_table(none).count() == 0
 
 
