@@ -29,7 +29,7 @@ def secret_findings(files: DataFrame) -> DataFrame:
     rows = spans.withColumn("s", F.explode("spans")).select("relative_path", "raw", F.col("s.rule_id").alias("rule_id"), F.col("s.start_byte").cast("int").alias("a"), F.col("s.end_byte").cast("int").alias("b"))
     before = F.decode(F.substring("raw", F.lit(1), F.col("a")), "UTF-8")
     value = F.sha2(F.substring("raw", F.col("a") + 1, F.col("b") - F.col("a")), 256)
-    return rows.select("rule_id", F.lit("critical").alias("severity"), "relative_path", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"), fingerprint(F.col("rule_id"), F.col("relative_path"), value).alias("fingerprint"), F.lit("[REDACTED]").alias("preview"))
+    return rows.select("rule_id", F.lit("high").alias("severity"), "relative_path", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"), fingerprint(F.col("rule_id"), F.col("relative_path"), value).alias("fingerprint"), F.lit("[REDACTED]").alias("preview"))
 
 
 def primitive_findings(parsed: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def primitive_findings(parsed: DataFrame) -> DataFrame:
     runs = ((lang == "python") & n.isin(*[f"subprocess.{x}" for x in sorted(SUBPROCESS)]) & F.coalesce("c.shell", F.lit(False))) | (js & n.rlike(r"^(?:child_process\.)?exec(?:Sync)?$")) | ((lang == "php") & n.isin("exec", "shell_exec", "system", "passthru", "popen", "proc_open"))
     loads = ((lang == "python") & n.isin("pickle.load", "pickle.loads")) | ((lang == "php") & (n == "unserialize"))
     rule = F.when(evaluates, "dangerous-eval").when(runs, "dangerous-process-execution").when(loads, "dangerous-deserialization")
-    return rows.withColumn("rule_id", rule).where("rule_id is not null").select("rule_id", F.when(F.col("rule_id") == "dangerous-eval", "high").otherwise("high").alias("severity"), "relative_path", F.col("c.line").alias("line"))
+    return rows.withColumn("rule_id", rule).where("rule_id is not null").select("rule_id", F.lit("medium").alias("severity"), "relative_path", F.col("c.line").alias("line"))
 
 
 def configuration_findings(files: DataFrame) -> DataFrame:
@@ -57,13 +57,14 @@ def configuration_findings(files: DataFrame) -> DataFrame:
     hint = F.col("content").rlike("(?i)chmod|USER|uses:|Access-Control-Allow-Origin|privileged")
     lines = files.where(hint).select("relative_path", docker.alias("docker"), shell.alias("shell"), F.posexplode(F.split("content", "\n")).alias("at", "text"))
     t = F.ltrim("text")
-    root = F.col("docker") & t.rlike(r"(?i)^USER\s+(?:root|[+-]?0+)(?::\S*)?\s*$")
+    root = F.col("docker") & t.rlike(r"^(?i:USER)\s+(?:root|[+-]?0+)(?:[:\s]|$)")
     writable = (F.col("docker") | F.col("shell")) & t.rlike(r"\bchmod\s+(?:-R\s+)?0?777\b")
     action = F.col("relative_path").startswith(".github/workflows/") & paths.is_mutable_reference(F.regexp_extract(t, r"^(?:- )?uses:\s*[\"']?([^\"'\s#]+)", 1)) & t.rlike(r"^(?:- )?uses:\s*\S")
     cors = t.rlike(r"(?i)Access-Control-Allow-Origin[\"']?\s*[:,=]\s*[\"']?\*")
     rule = F.when(root, "config-docker-root-user").when(writable, "config-world-writable-mode").when(action, "config-unpinned-github-action").when(cors, "config-wildcard-cors")
     out = lines.where(~t.startswith("#") & ~t.startswith("//")).withColumn("rule_id", rule).where("rule_id is not null")
-    return out.select("rule_id", F.lit("medium").alias("severity"), "relative_path", (F.col("at") + 1).cast("long").alias("line"))
+    low = F.col("rule_id").isin("config-docker-root-user", "config-wildcard-cors")
+    return out.select("rule_id", F.when(low, "low").otherwise("medium").alias("severity"), "relative_path", (F.col("at") + 1).cast("long").alias("line"))
 
 
 def environment_findings(files: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def execution_signals(files: DataFrame, primitives: DataFrame) -> DataFrame:
     name = paths.file_name(F.col("relative_path"))
     docker = files.where((name == "Dockerfile") | name.startswith("Dockerfile.")).select("relative_path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
     word = F.upper(F.regexp_extract(F.ltrim("text"), r"^(\w+)\s", 1))
-    kind = F.when(word == "ENTRYPOINT", "docker_entrypoint").when(word == "CMD", "docker_command").when(F.ltrim("text").rlike(r"(?i)^USER\s+(?:root|[+-]?0+)(?::\S*)?\s*$"), "docker_root_user")
+    kind = F.when(word == "ENTRYPOINT", "docker_entrypoint").when(word == "CMD", "docker_command").when(F.ltrim("text").rlike(r"^(?i:USER)\s+(?:root|[+-]?0+)(?:[:\s]|$)"), "docker_root_user")
     out = docker.select(kind.alias("kind"), "relative_path", (F.col("at") + 1).cast("long").alias("line")).where("kind is not null")
     build = files.where(name == "build.rs").select(F.lit("cargo_build_script").alias("kind"), "relative_path", F.lit(1).cast("long").alias("line"))
     scripts = files.where(name.isin("package.json", "composer.json") & (F.get_json_object("content", "$.scripts").rlike(r"^\{.*:"))).select(F.when(name == "package.json", "package_script").otherwise("composer_script").alias("kind"), "relative_path", F.lit(1).cast("long").alias("line"))

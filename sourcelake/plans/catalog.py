@@ -321,8 +321,8 @@ b AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, relative_path, sha256(
 t AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, relative_path, sha256(content) AS content_hash FROM f WHERE doc_id % 17 <> 0),
 c AS (SELECT coalesce(t.chunk_id, b.chunk_id) AS chunk_id, coalesce(t.relative_path, b.relative_path) AS relative_path, CASE WHEN t.chunk_id IS NULL THEN 'delete' WHEN t.content_hash = b.content_hash THEN 'unchanged' ELSE 'upsert' END AS operation, t.content_hash FROM t FULL OUTER JOIN b ON t.chunk_id = b.chunk_id)
 """
-_PRIM_SQL = "SELECT CASE k WHEN 0 THEN 'dangerous-deserialization' WHEN 1 THEN 'dangerous-process-execution' ELSE 'dangerous-eval' END AS rule_id, 'high' AS severity, relative_path, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS BIGINT) AS line FROM d WHERE k <> 2"
-_CONF_SQL = "SELECT r.rule_id, 'medium' AS severity, 'd' || s || '/Dockerfile' AS relative_path, CAST(r.line AS BIGINT) AS line FROM d, (VALUES ('config-docker-root-user', 2), ('config-world-writable-mode', 3)) r(rule_id, line) WHERE doc_id % 5 = 0"
+_PRIM_SQL = "SELECT CASE k WHEN 0 THEN 'dangerous-deserialization' WHEN 1 THEN 'dangerous-process-execution' ELSE 'dangerous-eval' END AS rule_id, 'medium' AS severity, relative_path, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS BIGINT) AS line FROM d WHERE k <> 2"
+_CONF_SQL = "SELECT r.rule_id, CASE r.line WHEN 2 THEN 'low' ELSE 'medium' END AS severity, 'd' || s || '/Dockerfile' AS relative_path, CAST(r.line AS BIGINT) AS line FROM d, (VALUES ('config-docker-root-user', 2), ('config-world-writable-mode', 3)) r(rule_id, line) WHERE doc_id % 5 = 0"
 _AWS = "len(regexp_extract_all(content, '\\b(?:AKIA|ASIA)[A-Z0-9]{16}\\b'))"
 _TOKEN = "len(regexp_extract_all(content, 'token = \"[0-9a-f]{40}\"'))"
 _COVER_SQL = INVENTORY_SQL + f""", dom(domain) AS (VALUES {', '.join(f"('{d}')" for d in security.DOMAINS)}),
@@ -375,7 +375,7 @@ SELECT relative_path, target, 'exact_import' AS basis FROM x UNION ALL SELECT t.
     "ex8_signals": _CODE_SQL + "SELECT r.kind, 'd' || s || '/Dockerfile' AS relative_path, CAST(r.line AS BIGINT) AS line FROM d, (VALUES ('docker_root_user', 2), ('docker_entrypoint', 5), ('docker_command', 6)) r(kind, line) WHERE doc_id % 5 = 0 UNION ALL SELECT CASE k WHEN 0 THEN 'deserialization_primitive' WHEN 1 THEN 'process_execution_primitive' ELSE 'dynamic_evaluation_primitive' END, relative_path, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS BIGINT) FROM d WHERE k <> 2",
     "ex2_scripts": "SELECT 'package_script' AS kind, 'n' || CAST(event_id AS VARCHAR) || '/package.json' AS relative_path, CAST(1 AS BIGINT) AS line FROM events WHERE len(json_keys(props)) > 0",
     "ag4_severities": _CODE_SQL + f", x AS ({_PRIM_SQL} UNION ALL {_CONF_SQL}) SELECT severity, count(*) AS findings, CAST(list_position([{_sql_list(security.SEVERITIES)}], severity) AS BIGINT) AS rank FROM x GROUP BY severity",
-    "sk6_sarif": _CODE_SQL + f", x AS ({_PRIM_SQL} UNION ALL {_CONF_SQL}) SELECT rule_id, dense_rank() OVER (ORDER BY rule_id) - 1 AS rule_index, CASE severity WHEN 'high' THEN 'error' ELSE 'warning' END AS level, relative_path AS uri, line FROM x",
+    "sk6_sarif": _CODE_SQL + f", x AS ({_PRIM_SQL} UNION ALL {_CONF_SQL}) SELECT rule_id, dense_rank() OVER (ORDER BY rule_id) - 1 AS rule_index, CASE severity WHEN 'low' THEN 'note' ELSE 'warning' END AS level, relative_path AS uri, line FROM x",
     "cv1_file_coverage": _COVER_SQL + "SELECT * FROM c",
     "ag5_domain_coverage": _COVER_SQL + "SELECT domain, complete, partial, unsupported, excluded, not_reported, read_files, evaluated_files, status, CASE WHEN status = 'complete' THEN found END AS findings FROM s",
     "ag7_required_gate": _COVER_SQL + ", r AS (SELECT bool_and(domain = 'bounded_dataflow' OR status IN ('complete', 'excluded')) AS complete, CAST(coalesce(sum(CASE WHEN domain <> 'bounded_dataflow' AND status = 'complete' THEN found END), 0) AS BIGINT) AS findings FROM s) SELECT complete, CASE WHEN complete THEN findings END AS findings, CAST(CASE WHEN NOT complete THEN 6 WHEN findings > 0 THEN 5 ELSE 0 END AS BIGINT) AS exit_code FROM r",
