@@ -159,3 +159,8 @@ def excluded_by_user(path: Column, patterns: list[str]) -> Column:
         keep = p.startswith("!")
         out = F.when(path.rlike(glob_regex(p[1:] if keep else p)), F.lit(not keep)).otherwise(out)
     return out
+
+
+def is_object_id(value):
+    """40 or 64 lower-case hexadecimal digits that are not all zero; null is none."""
+    return F.coalesce(value.rlike("^(?:[0-9a-f]{40}|[0-9a-f]{64})$") & ~value.rlike("^0+$"), F.lit(False))

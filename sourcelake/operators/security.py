@@ -14,6 +14,9 @@ SEVERITIES = ["info", "low", "medium", "high", "critical"]
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 DOMAINS = ["secrets", "dangerous_primitives", "configuration", "execution_surface", "bounded_dataflow"]
 MAX_PER_FILE = 2000
+NETWORK_WORDS = ["http", "https", "request", "fetch", "axios", "urllib", "ssl", "tls", "session", "client"]
+TLS_OFF_WHEN_FALSE = ["verify", "verifyssl", "verifytls", "checkhostname", "rejectunauthorized"]
+TLS_OFF_WHEN_TRUE = ["insecure", "ignorehttperrors", "dangeracceptinvalidcerts", "dangeracceptinvalidhostnames"]
 SIGNAL_OF_RULE = {"dangerous-eval": "dynamic_evaluation_primitive", "dangerous-process-execution": "process_execution_primitive", "dangerous-deserialization": "deserialization_primitive"}
 
 
@@ -88,6 +91,14 @@ def execution_signals(files: DataFrame, primitives: DataFrame) -> DataFrame:
     return out.unionByName(build).unionByName(scripts).unionByName(prim).distinct()
 
 
+def tls_signals(options: DataFrame) -> DataFrame:
+    """Calls with a literal option that turns TLS checks off, once each; (relative_path, line, callee, name, value)."""
+    plain = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
+    off = F.when(F.col("value"), plain.isin(TLS_OFF_WHEN_TRUE)).otherwise(plain.isin(TLS_OFF_WHEN_FALSE))
+    hit = options.where(F.lower("callee").rlike("|".join(NETWORK_WORDS)) & F.col("value").isNotNull() & off)
+    return hit.select(F.lit("tls_verification_disabled").alias("kind"), "relative_path", "line").distinct()
+
+
 def capped(findings: DataFrame, limit: int = MAX_PER_FILE) -> DataFrame:
     """At most ``limit`` findings a file, and whether the file had more: that domain is then partial."""
     w = Window.partitionBy("relative_path").orderBy("line", "rule_id")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sourcelake.functions import paths
 from sourcelake.functions.parse import parse_source
 from sourcelake.functions.secrets import redact_secrets, spans_of
+from sourcelake.functions.yaml_lines import yaml_signals
 from sourcelake.operators import analysis, budgets, security, snapshot
 from sourcelake.sources.virtual import FILES_SQL, inventory, repo_files, table
 
@@ -45,6 +46,21 @@ _CODE = [
 ]
 _DOCKER = "FROM base\nUSER root\nRUN chmod 777 /srv\n# USER root\nENTRYPOINT [\"run\"]\nCMD [\"x\"]\n"
 
+_WORKFLOWS = [
+    "on: push\npermissions:\n  contents: read\njobs:\n  a:\n    steps:\n      - uses: o/r@v1\n      - name: x\n        run: |\n          uses: no/no@v1\n",
+    "# on: push\n'on':\n  push:\njobs:\n  a:\n    permissions: {}\n    uses: ./local\n",
+    "name: {a: b}\nenv:\n  on: 1\n  uses: o/r@v1\n",
+]
+_COMPOSE = [
+    "services:\n  a:\n    image: x\n    privileged: true # yes\n",
+    "services:\n  a:\n    privileged: false\n  b: &anchor\n    image: x\n",
+    "privileged: true\nservices:\n  a:\n    privileged: maybe\n",
+]
+
+
+def _pick(values: list[str], key):
+    return F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
+
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Python module per document, of four templates."""
@@ -271,6 +287,33 @@ def ex2_scripts(spark, sf_dir):
     return security.execution_signals(files, none)
 
 
+def _yaml(spark, sf_dir, prefix: str, name: str, texts: list[str]) -> DataFrame:
+    d = F.col("doc_id")
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit(prefix), d.cast("string"), F.lit(name)).alias("relative_path"), _pick(texts, d % 3).alias("content"))
+    return yaml_signals(files).select("relative_path", "partial", F.explode_outer("signals").alias("s")).select("relative_path", "partial", "s.kind", "s.line", "s.column")
+
+
+def ex5_workflows(spark, sf_dir):
+    return _yaml(spark, sf_dir, ".github/workflows/w", ".yml", _WORKFLOWS)
+
+
+def ex9_compose(spark, sf_dir):
+    return _yaml(spark, sf_dir, "c", "/compose.yaml", _COMPOSE)
+
+
+def ex10_tls(spark, sf_dir):
+    d = F.col("doc_id")
+    names = ["verify", "reject_Unauthorized", "insecure", "timeout"]
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), d.cast("string"), F.lit(".py")).alias("relative_path"), (d % 9 + 1).alias("line"), _pick(["requests.get", "Session.post", "print"], d % 3).alias("callee"), _pick(names, d % 4).alias("name"), (d % 5 == 0).alias("value"))
+    return security.tls_signals(rows)
+
+
+def f23_object_ids(spark, sf_dir):
+    sha = F.sha1(F.col("doc_id").cast("string").cast("binary"))
+    value = F.when(F.col("doc_id") % 4 == 0, sha).when(F.col("doc_id") % 4 == 1, F.upper(F.concat(F.lit("a"), F.substring(sha, 2, 39)))).when(F.col("doc_id") % 4 == 2, F.repeat(F.lit("0"), F.lit(40)))
+    return table(spark, sf_dir, "documents").select("doc_id", paths.is_object_id(value).alias("valid"))
+
+
 def _findings(spark, sf_dir) -> DataFrame:
     return sr2_primitives(spark, sf_dir).unionByName(sr7_configuration(spark, sf_dir))
 
@@ -374,6 +417,13 @@ SELECT relative_path, target, 'exact_import' AS basis FROM x UNION ALL SELECT t.
     "sr5_environment_files": "SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'config-tracked-env' ELSE 'config-env-file' END AS rule_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'medium' ELSE 'low' END AS severity, 'e' || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '/.env' ELSE '/.env.local' END AS relative_path, CAST(1 AS BIGINT) AS line FROM documents WHERE doc_id % 4 < 2",
     "ex8_signals": _CODE_SQL + "SELECT r.kind, 'd' || s || '/Dockerfile' AS relative_path, CAST(r.line AS BIGINT) AS line FROM d, (VALUES ('docker_root_user', 2), ('docker_entrypoint', 5), ('docker_command', 6)) r(kind, line) WHERE doc_id % 5 = 0 UNION ALL SELECT CASE k WHEN 0 THEN 'deserialization_primitive' WHEN 1 THEN 'process_execution_primitive' ELSE 'dynamic_evaluation_primitive' END, relative_path, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS BIGINT) FROM d WHERE k <> 2",
     "ex2_scripts": "SELECT 'package_script' AS kind, 'n' || CAST(event_id AS VARCHAR) || '/package.json' AS relative_path, CAST(1 AS BIGINT) AS line FROM events WHERE len(json_keys(props)) > 0",
+    "ex5_workflows": """WITH r(k, partial, kind, line, "column") AS (VALUES (0, false, 'github_workflow_triggers', 1, 1), (0, false, 'github_workflow_permissions', 2, 1), (0, false, 'github_workflow_uses', 7, 7), (0, false, 'github_workflow_mutable_ref', 7, 7),
+(1, false, 'github_workflow_triggers', 2, 1), (1, false, 'github_workflow_permissions', 6, 5), (1, false, 'github_workflow_uses', 7, 5), (2, true, NULL, NULL, NULL))
+SELECT '.github/workflows/w' || CAST(doc_id AS VARCHAR) || '.yml' AS relative_path, partial, kind, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column" FROM documents JOIN r ON k = doc_id % 3""",
+    "ex9_compose": """WITH r(k, partial, kind, line, "column") AS (VALUES (0, false, 'docker_privileged', 4, 5), (1, true, NULL, NULL, NULL), (2, true, NULL, NULL, NULL))
+SELECT 'c' || CAST(doc_id AS VARCHAR) || '/compose.yaml' AS relative_path, partial, kind, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column" FROM documents JOIN r ON k = doc_id % 3""",
+    "ex10_tls": "SELECT DISTINCT 'tls_verification_disabled' AS kind, 't' || CAST(doc_id AS VARCHAR) || '.py' AS relative_path, doc_id % 9 + 1 AS line FROM documents WHERE doc_id % 3 <> 2 AND CASE WHEN doc_id % 5 = 0 THEN doc_id % 4 = 2 ELSE doc_id % 4 IN (0, 1) END",
+    "f23_object_ids": "SELECT doc_id, doc_id % 4 = 0 AS valid FROM documents",
     "ag4_severities": _CODE_SQL + f", x AS ({_PRIM_SQL} UNION ALL {_CONF_SQL}) SELECT severity, count(*) AS findings, CAST(list_position([{_sql_list(security.SEVERITIES)}], severity) AS BIGINT) AS rank FROM x GROUP BY severity",
     "sk6_sarif": _CODE_SQL + f", x AS ({_PRIM_SQL} UNION ALL {_CONF_SQL}) SELECT rule_id, dense_rank() OVER (ORDER BY rule_id) - 1 AS rule_index, CASE severity WHEN 'low' THEN 'note' ELSE 'warning' END AS level, relative_path AS uri, line FROM x",
     "cv1_file_coverage": _COVER_SQL + "SELECT * FROM c",
@@ -388,6 +438,6 @@ QUERIES = {
     for f in (
         inventory_files, ag1_summary, ag2_language_stats, f9_manifests, f10_path_categories, f1_normalized_paths, f17_user_excludes, f19_tracking, f27_mutable_references, j8_tracked_directories, w1_largest_files, w3_file_budget, w4_byte_budget, w5_metadata_budget,
         ag3_duplicate_groups, ag3_duplicate_members, se1_secret_counts, se2_redaction, sr1_secret_findings, tf3_symbols, tf6_metrics, tf7_calls, tf9_imports, tf11_dataflow, tf15_chunks, j3_dependency_edges, j4_test_mappings, j1_hotspots, ag12_hotspot_status,
-        j6_snapshot_delta, ag14_delta_counts, ev4_events, ev5_apply, j7_base_paths_covered, sr2_primitives, sr7_configuration, sr5_environment_files, ex8_signals, ex2_scripts, ag4_severities, sk6_sarif, cv1_file_coverage, ag5_domain_coverage, ag7_required_gate, cv4_evidence, sk1_chunk_json,
+        j6_snapshot_delta, ag14_delta_counts, ev4_events, ev5_apply, j7_base_paths_covered, sr2_primitives, sr7_configuration, sr5_environment_files, ex8_signals, ex2_scripts, ex5_workflows, ex9_compose, ex10_tls, f23_object_ids, ag4_severities, sk6_sarif, cv1_file_coverage, ag5_domain_coverage, ag7_required_gate, cv4_evidence, sk1_chunk_json,
     )
 }
