@@ -128,7 +128,6 @@ def test_lm(spark, odd, docs, none):
 
 
 def test_lm_is_normalised_and_beats_the_base(spark):
-    # on the 200 documents of sf0.001 the model stays slightly behind the base; see the README
     got = lm.score_table(entry.table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
     model = lm.LogBilinear(class_counts=np.arange(lm.CLASSES + 1.0))
