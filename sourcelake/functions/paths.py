@@ -125,8 +125,8 @@ def is_mutable_reference(use: Column) -> Column:
     return ~use.startswith("./") & ~F.when(use.startswith("docker://"), use.rlike("@sha256:[0-9a-f]{64}$")).otherwise(use.rlike("@[0-9a-f]{40}$"))
 
 
-def glob_regex(pattern: str) -> str:
-    """Java regex for a root-relative ignore pattern: ``*`` and ``?`` stop at ``/``, ``**`` does not, a pattern without a slash fits at any depth, a match covers what lies below."""
+def glob_regex(pattern: str, below: bool = True) -> str:
+    """Java regex for a root-relative ignore pattern: ``*`` and ``?`` stop at ``/``, ``**`` does not, a pattern without a slash fits at any depth, a match covers what lies below if ``below``."""
     import re
 
     body = pattern.rstrip("/")
@@ -142,14 +142,16 @@ def glob_regex(pattern: str) -> str:
             out, i = out + "[^/]*", i + 1
         elif body[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif body[i] == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
         elif body[i] == "[" and "]" in body[i + 2 :]:
             end = body.index("]", i + 2)
             cls = body[i + 1 : end]
             out, i = out + "[" + ("^" + cls[1:] if cls[0] == "!" else cls) + "]", end + 1
         else:
             out, i = out + re.escape(body[i]), i + 1
-    below = "/.*" if pattern.endswith("/") else "(?:/.*)?"
-    return f"^{'' if anchored else '(?:.*/)?'}{out}{below}$"
+    rest = "" if not below else "/.*" if pattern.endswith("/") else "(?:/.*)?"
+    return f"^{'' if anchored else '(?:.*/)?'}{out}{rest}$"
 
 
 def excluded_by_user(path: Column, patterns: list[str]) -> Column:
