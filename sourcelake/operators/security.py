@@ -87,7 +87,7 @@ def execution_signals(files: DataFrame, primitives: DataFrame) -> DataFrame:
     build = files.where(name == "build.rs").select(F.lit("cargo_build_script").alias("kind"), "relative_path", F.lit(1).cast("long").alias("line"))
     scripts = files.where(name.isin("package.json", "composer.json") & (F.get_json_object("content", "$.scripts").rlike(r"^\{.*:"))).select(F.when(name == "package.json", "package_script").otherwise("composer_script").alias("kind"), "relative_path", F.lit(1).cast("long").alias("line"))
     pairs = F.create_map(*[F.lit(x) for kv in SIGNAL_OF_RULE.items() for x in kv])
-    prim = primitives.select(F.try_element_at(pairs, F.col("rule_id")).alias("kind"), "relative_path", "line")
+    prim = primitives.select(F.try_element_at(pairs, F.col("rule_id")).alias("kind"), "relative_path", "line").where("kind is not null")
     return out.unionByName(build).unionByName(scripts).unionByName(prim).distinct()
 
 

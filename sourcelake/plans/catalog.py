@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sourcelake.functions import paths
 from sourcelake.functions.parse import parse_source
 from sourcelake.functions.secrets import redact_secrets, spans_of
-from sourcelake.functions.yaml_lines import yaml_signals
-from sourcelake.operators import analysis, budgets, security, snapshot
+from sourcelake.functions.yaml_lines import manifest_signals, yaml_signals
+from sourcelake.operators import analysis, budgets, ignores, protocol, reports, security, snapshot, statuses
 from sourcelake.sources.virtual import FILES_SQL, inventory, repo_files, table
 
 EXCLUDES = ["*.bin", "!src/**/f1*.bin", "docs/", "lib/d*/test_*"]
@@ -58,6 +58,22 @@ _COMPOSE = [
 ]
 
 
+_CARGO = [
+    "[package]\nname = 'x'\nbuild = 'make.rs'\n",
+    "[package]\nbuild = false\n[target.'cfg(unix)'.build-dependencies]\ncc = '1'\n",
+    "[package\n",
+    "[package]\nname = 'x'\n[dependencies]\na = '1'\n",
+]
+_JSON_WORKFLOWS = [
+    '# made by a tool\n{"on": "push", "permissions": {}, "jobs": {"a": {"steps": [{"uses": "o/r@v1"}, {"run": "uses: x"}]}}}',
+    '{"name": "x", "env": {"on": 1}, "jobs": {"a": {"uses": "./local"}, "b": {"uses": "./other"}}}',
+    '{"on": ["push"], "jobs": []}',
+    '{"on": "push",}',
+]
+_IGNORES = [(".gitignore", "*.bin\nbuild/\n/docs/**/f1*\n!f3.bin\n"), ("src/.gitignore", "pkg/\n!*.bin\n"), ("lib/.gitignore", "test_*\n")]
+_DIAGNOSTICS = ["excluded_user", "file_too_large", "ignored_vcs", "max_files"]
+
+
 def _pick(values: list[str], key):
     return F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
 
@@ -308,6 +324,59 @@ def ex10_tls(spark, sf_dir):
     return security.tls_signals(rows)
 
 
+def _signal_rows(scanned: DataFrame) -> DataFrame:
+    return scanned.select("relative_path", "partial", F.explode_outer("signals").alias("s")).select("relative_path", "partial", "s.kind", "s.line", "s.column")
+
+
+def ex4_cargo(spark, sf_dir):
+    d = F.col("doc_id")
+    return _signal_rows(manifest_signals(table(spark, sf_dir, "documents").select(F.concat(F.lit("r"), d.cast("string"), F.lit("/Cargo.toml")).alias("relative_path"), _pick(_CARGO, d % 4).alias("content"))))
+
+
+def ex6_json_workflows(spark, sf_dir):
+    d = F.col("doc_id")
+    return _signal_rows(yaml_signals(table(spark, sf_dir, "documents").select(F.concat(F.lit(".github/workflows/j"), d.cast("string"), F.lit(".yml")).alias("relative_path"), _pick(_JSON_WORKFLOWS, d % 4).alias("content"))))
+
+
+def f18_ignored(spark, sf_dir):
+    """Files under three ignore files in each repository; every seventh is tracked."""
+    files = repo_files(spark, sf_dir)
+    three = F.explode(F.array(*[F.struct(F.lit(p).alias("relative_path"), F.lit(t).alias("content")) for p, t in _IGNORES]))
+    rules = files.select("repo_id").distinct().withColumn("r", three).select("repo_id", "r.*")
+    return ignores.ignored(files, rules, files.where("doc_id % 7 = 0"))
+
+
+def ag8_statuses(spark, sf_dir):
+    return _file_statuses(spark, sf_dir)
+
+
+def _file_statuses(spark, sf_dir) -> DataFrame:
+    d = F.col("doc_id")
+    known = repo_files(spark, sf_dir).where("doc_id % 6 <> 0").select("relative_path", F.when(d % 9 == 0, "partial").otherwise("complete").alias("status"))
+    return statuses.file_statuses(_inventory(spark, sf_dir), known)
+
+
+def ag11_report_status(spark, sf_dir):
+    return statuses.report_status(_file_statuses(spark, sf_dir))
+
+
+def ev3_abort_reasons(spark, sf_dir):
+    base, _ = _manifests(spark, sf_dir)
+    path = F.when(F.col("doc_id") % 10 == 0, F.regexp_replace("relative_path", "/[^/]*$", "")).when(F.col("doc_id") % 10 < 8, F.col("relative_path"))
+    notes = repo_files(spark, sf_dir).select(_pick(_DIAGNOSTICS, F.col("doc_id") % 4).alias("code"), path.alias("relative_path"))
+    return protocol.abort_reasons(notes, base)
+
+
+def sk6_uris(spark, sf_dir):
+    odd = F.concat(F.col("relative_path"), _pick([" a+b", "*~", "é%", "?#"], F.col("doc_id") % 4))
+    return repo_files(spark, sf_dir).select("doc_id", reports.relative_uri(odd).alias("uri"))
+
+
+def sk10_diagnostic_counts(spark, sf_dir):
+    notes = repo_files(spark, sf_dir).select(_pick(_DIAGNOSTICS, F.col("doc_id") % 4).alias("code"), "relative_path")
+    return reports.capped_diagnostics(notes)[1]
+
+
 def f23_object_ids(spark, sf_dir):
     sha = F.sha1(F.col("doc_id").cast("string").cast("binary"))
     value = F.when(F.col("doc_id") % 4 == 0, sha).when(F.col("doc_id") % 4 == 1, F.upper(F.concat(F.lit("a"), F.substring(sha, 2, 39)))).when(F.col("doc_id") % 4 == 2, F.repeat(F.lit("0"), F.lit(40)))
@@ -423,6 +492,28 @@ SELECT '.github/workflows/w' || CAST(doc_id AS VARCHAR) || '.yml' AS relative_pa
     "ex9_compose": """WITH r(k, partial, kind, line, "column") AS (VALUES (0, false, 'docker_privileged', 4, 5), (1, true, NULL, NULL, NULL), (2, true, NULL, NULL, NULL))
 SELECT 'c' || CAST(doc_id AS VARCHAR) || '/compose.yaml' AS relative_path, partial, kind, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column" FROM documents JOIN r ON k = doc_id % 3""",
     "ex10_tls": "SELECT DISTINCT 'tls_verification_disabled' AS kind, 't' || CAST(doc_id AS VARCHAR) || '.py' AS relative_path, doc_id % 9 + 1 AS line FROM documents WHERE doc_id % 3 <> 2 AND CASE WHEN doc_id % 5 = 0 THEN doc_id % 4 = 2 ELSE doc_id % 4 IN (0, 1) END",
+    "ex4_cargo": """WITH r(k, partial, kind, line, "column") AS (VALUES (0, false, 'cargo_build_script', 1, 1), (1, false, 'cargo_build_dependencies', 1, 1), (2, true, NULL, NULL, NULL), (3, false, NULL, NULL, NULL))
+SELECT 'r' || CAST(doc_id AS VARCHAR) || '/Cargo.toml' AS relative_path, partial, kind, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column" FROM documents JOIN r ON k = doc_id % 4""",
+    "ex6_json_workflows": """WITH r(k, partial, kind, line, "column") AS (VALUES (0, false, 'github_workflow_triggers', 1, 1), (0, false, 'github_workflow_permissions', 1, 1), (0, false, 'github_workflow_uses', 1, 1), (0, false, 'github_workflow_mutable_ref', 1, 1),
+(1, true, 'github_workflow_uses', 1, 1), (2, true, 'github_workflow_triggers', 1, 1), (3, true, NULL, NULL, NULL))
+SELECT '.github/workflows/j' || CAST(doc_id AS VARCHAR) || '.yml' AS relative_path, partial, kind, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column" FROM documents JOIN r ON k = doc_id % 4""",
+    "f18_ignored": f"""WITH {FILES_SQL}, t AS (SELECT DISTINCT repo_id, relative_path FROM f WHERE doc_id % 7 = 0), p AS (SELECT DISTINCT repo_id, relative_path AS p, string_split(relative_path, '/')[-1] AS name FROM f),
+x AS (SELECT *, EXISTS (SELECT 1 FROM t WHERE t.repo_id IS NOT DISTINCT FROM p.repo_id AND t.relative_path = p) AS tracked, starts_with(p, 'build/') AND NOT EXISTS (SELECT 1 FROM t WHERE t.repo_id IS NOT DISTINCT FROM p.repo_id AND starts_with(t.relative_path, 'build/')) AS below,
+      starts_with(p, 'src/pkg/') AND NOT EXISTS (SELECT 1 FROM t WHERE t.repo_id IS NOT DISTINCT FROM p.repo_id AND starts_with(t.relative_path, 'src/pkg/')) AS package FROM p)
+SELECT repo_id, p AS relative_path, below OR package OR NOT tracked AND CASE WHEN starts_with(p, 'src/') AND suffix(name, '.bin') THEN false WHEN starts_with(p, 'lib/') AND starts_with(name, 'test_') THEN true WHEN name = 'f3.bin' THEN false WHEN starts_with(p, 'docs/') AND starts_with(name, 'f1') THEN true ELSE suffix(name, '.bin') END AS ignored FROM x WHERE repo_id IS NOT NULL""",
+    "ag8_statuses": INVENTORY_SQL + f""", k AS (SELECT relative_path, max(CASE WHEN doc_id % 9 = 0 THEN 'partial' ELSE 'complete' END) AS s FROM f WHERE doc_id % 6 <> 0 GROUP BY relative_path)
+SELECT relative_path, language, CASE WHEN "binary" THEN 'excluded' WHEN s = 'complete' THEN 'complete' ELSE 'partial' END AS complexity_status, CASE WHEN "binary" THEN 'excluded' WHEN language NOT IN ('javascript', 'typescript', 'python') THEN 'unsupported' WHEN s = 'complete' THEN 'complete' ELSE 'partial' END AS graph_status FROM i LEFT JOIN k USING (relative_path) WHERE {_SOURCE}""",
+    "ag11_report_status": "SELECT 'partial' AS complexity, 'partial' AS graph, 'partial' AS report",
+    "ev3_abort_reasons": _DELTA_SQL + """, n AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN 'excluded_user' WHEN 1 THEN 'file_too_large' WHEN 2 THEN 'ignored_vcs' ELSE 'max_files' END AS code, CASE WHEN doc_id % 10 = 0 THEN regexp_replace(relative_path, '/[^/]*$', '') WHEN doc_id % 10 < 8 THEN relative_path END AS relative_path FROM f)
+SELECT code, relative_path FROM n WHERE code IN ('file_too_large', 'max_files') OR relative_path IS NULL OR EXISTS (SELECT 1 FROM b WHERE b.relative_path = n.relative_path OR starts_with(b.relative_path, n.relative_path || '/'))""",
+    "sk6_uris": f"WITH {FILES_SQL} SELECT doc_id, replace(url_encode(relative_path || CASE doc_id % 4 WHEN 0 THEN ' a+b' WHEN 1 THEN '*~' WHEN 2 THEN 'é%' ELSE '?#' END), '%2F', '/') AS uri FROM f",
+    "sk10_diagnostic_counts": f"WITH {FILES_SQL}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id % 4, relative_path FROM f)) SELECT least(n, 200) AS emitted, greatest(n - 200, 0) AS suppressed FROM n",
+    "w4_byte_budget": INVENTORY_SQL + f""", w AS (SELECT repo_id, relative_path, size_bytes, row_number() OVER (PARTITION BY repo_id ORDER BY {_WALK}, size_bytes) AS place FROM i),
+z AS (SELECT repo_id, list(size_bytes ORDER BY place) AS sizes FROM w GROUP BY repo_id), s AS (SELECT repo_id, list_reduce(list_transform(sizes, lambda x: [CAST(x AS BIGINT)]), lambda a, x: list_append(a, CASE WHEN x[1] <= a[1] THEN 1 ELSE 0 END)[:0] || [a[1] - CASE WHEN x[1] <= a[1] THEN x[1] ELSE 0 END] || a[2:] || [CASE WHEN x[1] <= a[1] THEN 1 ELSE 0 END], [CAST({BYTE_BUDGET} AS BIGINT)]) AS r FROM z)
+SELECT w.repo_id, relative_path, size_bytes FROM w JOIN s ON w.repo_id IS NOT DISTINCT FROM s.repo_id WHERE r[place + 1] = 1""",
+    "sr1_secret_findings": f"""WITH {FILES_SQL}, l AS (SELECT relative_path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM f),
+v AS (SELECT 'secret.aws_access_key' AS rule_id, relative_path, line, unnest(regexp_extract_all(text, '\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b')) AS value FROM l UNION ALL SELECT 'secret.contextual_token', relative_path, line, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{{40}})"', 1)) FROM l)
+SELECT rule_id, 'high' AS severity, relative_path, CAST(line AS BIGINT) AS line, sha256('7:finding' || strlen(rule_id) || ':' || rule_id || strlen(relative_path) || ':' || relative_path || '64:' || sha256(value)) AS fingerprint, '[REDACTED]' AS preview FROM v""",
     "f23_object_ids": "SELECT doc_id, doc_id % 4 = 0 AS valid FROM documents",
     "ag4_severities": _CODE_SQL + f", x AS ({_PRIM_SQL} UNION ALL {_CONF_SQL}) SELECT severity, count(*) AS findings, CAST(list_position([{_sql_list(security.SEVERITIES)}], severity) AS BIGINT) AS rank FROM x GROUP BY severity",
     "sk6_sarif": _CODE_SQL + f", x AS ({_PRIM_SQL} UNION ALL {_CONF_SQL}) SELECT rule_id, dense_rank() OVER (ORDER BY rule_id) - 1 AS rule_index, CASE severity WHEN 'low' THEN 'note' ELSE 'warning' END AS level, relative_path AS uri, line FROM x",
@@ -438,6 +529,6 @@ QUERIES = {
     for f in (
         inventory_files, ag1_summary, ag2_language_stats, f9_manifests, f10_path_categories, f1_normalized_paths, f17_user_excludes, f19_tracking, f27_mutable_references, j8_tracked_directories, w1_largest_files, w3_file_budget, w4_byte_budget, w5_metadata_budget,
         ag3_duplicate_groups, ag3_duplicate_members, se1_secret_counts, se2_redaction, sr1_secret_findings, tf3_symbols, tf6_metrics, tf7_calls, tf9_imports, tf11_dataflow, tf15_chunks, j3_dependency_edges, j4_test_mappings, j1_hotspots, ag12_hotspot_status,
-        j6_snapshot_delta, ag14_delta_counts, ev4_events, ev5_apply, j7_base_paths_covered, sr2_primitives, sr7_configuration, sr5_environment_files, ex8_signals, ex2_scripts, ex5_workflows, ex9_compose, ex10_tls, f23_object_ids, ag4_severities, sk6_sarif, cv1_file_coverage, ag5_domain_coverage, ag7_required_gate, cv4_evidence, sk1_chunk_json,
+        j6_snapshot_delta, ag14_delta_counts, ev4_events, ev5_apply, j7_base_paths_covered, sr2_primitives, sr7_configuration, sr5_environment_files, ex8_signals, ex2_scripts, ex5_workflows, ex9_compose, ex10_tls, ex4_cargo, ex6_json_workflows, f18_ignored, ag8_statuses, ag11_report_status, ev3_abort_reasons, sk6_uris, sk10_diagnostic_counts, f23_object_ids, ag4_severities, sk6_sarif, cv1_file_coverage, ag5_domain_coverage, ag7_required_gate, cv4_evidence, sk1_chunk_json,
     )
 }
