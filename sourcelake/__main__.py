@@ -140,10 +140,13 @@ class Run:
     def index(self) -> None:
         from sourcelake.operators import protocol, reports, snapshot
 
-        plan, a, state = self.open(), self.args, None
-        state = self.scan.state
+        self.open()
+        a, state = self.args, self.scan.state
         text = self.scan.files.where("content is not null")
-        records = protocol.records(snapshot.chunks(text, a.max_chunk_bytes), a.repo_id, state.commit_sha).persist()
+        chunks = snapshot.structural_chunks(text, a.max_chunk_bytes).persist()
+        limits = chunks.where("code is not null").select("code", "relative_path").distinct()
+        self.scan = self.scan._replace(diagnostics=self.scan.diagnostics.unionByName(limits))
+        records = protocol.records(chunks, a.repo_id, state.commit_sha).persist()
         if a.format != "events-jsonl":
             ordered = rows_of(records.orderBy("relative_path", "start_byte"))
             self.write((json.dumps(r, ensure_ascii=False) + "\n" for r in ordered) if a.format == "jsonl" else reports.json_array({}, "records", ordered, {}))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from sourcelake import __version__
 from sourcelake.operators import snapshot
 from sourcelake.sources.manifests import identity
 
@@ -20,10 +21,11 @@ def _tagged(*parts):
 
 
 def records(chunks: DataFrame, repo_id: str = "", commit_sha: str | None = None) -> DataFrame:
-    """Chunks as records: with provenance, and a hash of every field but the commit."""
-    rows = chunks.withColumns({"repository_id": F.lit(repo_id), "chunk_id": F.sha2(_tagged(F.lit("chunk"), F.lit(repo_id), "relative_path", F.col("part_index").cast("string")).cast("binary"), 256)})
-    fields = sorted(rows.columns)
-    line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    """Structural chunks as records: with identities, provenance, and a hash of every field but the commit."""
+    named = _tagged(F.lit("chunk"), F.lit(repo_id), "relative_path", "symbol_kind", F.coalesce("qualified_name", F.lit("")), F.col("occurrence").cast("string"), F.col("part_index").cast("string"))
+    rows = chunks.where("content is not null").drop("code")
+    rows = rows.withColumns({"schema_version": F.lit("1.0"), "engine_version": F.lit(__version__), "repository_id": F.lit(repo_id), "chunk_id": F.sha2(named.cast("binary"), 256), "content_hash": F.sha2(F.col("content").cast("binary"), 256)}).drop("occurrence")
+    line = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
     return rows.withColumn("record_hash", F.sha2(line.cast("binary"), 256)).withColumn("commit_sha", F.lit(commit_sha).cast("string"))
 
 

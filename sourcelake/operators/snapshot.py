@@ -8,29 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from sourcelake.functions.parse import parse
 from sourcelake.functions.secrets import detect, mask
+from sourcelake.functions.segments import pieces, segments
 
 CHUNK_BYTES = 16 << 10
 CHUNK = "relative_path string, part_index long, start_byte long, end_byte long, start_line long, end_line long, content string, redaction_count long"
 
 
 def split_text(text: str, limit: int = CHUNK_BYTES) -> list[tuple[int, int]]:
-    """Byte ranges of at most ``limit`` bytes (of a whole character at least) that end behind a newline where one fits, else between characters."""
-    data, out, at = text.encode(), [], 0
-    while at < len(data):
-        to = min(len(data), at + limit)
-        if to < len(data):
-            newline = data.rfind(b"\n", at, to)
-            if newline >= at:
-                to = newline + 1
-            else:
-                while to > at + 1 and data[to] & 0xC0 == 0x80:
-                    to -= 1
-                while to < len(data) and data[to] & 0xC0 == 0x80:
-                    to += 1
-        out.append((at, to))
-        at = to
-    return out
+    """Byte ranges of a whole text."""
+    data = text.encode("utf-8", "surrogatepass")
+    return pieces(data, 0, len(data), limit)
 
 
 def chunks(files: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
@@ -55,6 +44,42 @@ def chunks(files: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     return out.withColumn("chunk_id", F.sha2(F.concat_ws("\u0001", F.lit("chunk"), "relative_path", F.col("part_index").cast("string")).cast("binary"), 256)).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
 
 
+RECORD = "relative_path string, language string, symbol_kind string, symbol_name string, qualified_name string, occurrence long, part_index long, start_byte long, end_byte long, start_line long, end_line long, content string, redacted boolean, redaction_count long, code string"
+
+
+def structural_chunks(files: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+    """Redacted chunks along the symbols of each file (Python; files of other languages are cut by size alone).
+
+    ``files`` has relative_path, language and content. Null and empty contents have no chunks. A row whose ``code``
+    is not null tells of a bound: the file's chunks ignore its symbols, or, with a null content, there are none.
+    Repeated files give repeated chunks.
+    """
+
+    def of(path: str, language: str, text: str | None) -> Iterator[tuple]:
+        text = text or ""
+        spans = detect(text)
+        data = text.encode("utf-8", "surrogatepass")
+        shown = mask(text, spans).encode("utf-8", "surrogatepass")
+        found, code = segments(data, parse(language, text)["symbols"] if language == "python" else [], limit)
+        if code and not found:
+            yield path, language, "file", None, None, 0, 0, 0, 0, 1, 1, None, False, 0, code
+        line = 1
+        for owner, part, a, b in found:
+            newlines = data.count(b"\n", a, b)
+            last = max(line, line + newlines - data.endswith(b"\n", a, b))
+            hit = sum(s < b and e > a for _, s, e in spans)
+            yield path, language, owner.kind, owner.name, owner.qualified_name, owner.occurrence, part, a, b, line, last, shown[a:b].decode("utf-8", "replace"), hit > 0, hit, code
+            line += newlines
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in RECORD.split(", ")]
+        for frame in batches:
+            for row in frame.itertuples(index=False):  # one file at a time: the chunks of a batch are never all held
+                yield pd.DataFrame(of(*row), columns=names)
+
+    return files.select("relative_path", "language", "content").mapInPandas(run, RECORD)
+
+
 def delta(base: DataFrame, target: DataFrame) -> DataFrame:
     """Full outer join of two manifests (chunk_id, relative_path, content_hash): upsert, delete or unchanged per chunk."""
     b = base.select("chunk_id", F.col("relative_path").alias("bp"), F.col("content_hash").alias("bh"))

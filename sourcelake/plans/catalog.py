@@ -209,6 +209,11 @@ def tf15_chunks(spark, sf_dir):
     return snapshot.chunks(repo_files(spark, sf_dir), 2048)
 
 
+def tf15_structural_chunks(spark, sf_dir):
+    """Chunks of the synthetic modules along their symbols."""
+    return snapshot.structural_chunks(code_files(spark, sf_dir)).drop("content", "code", "redacted", "redaction_count", "start_byte", "end_byte", "language")
+
+
 def _edges(spark, sf_dir) -> DataFrame:
     """Imports of sibling modules: file d imports file d + 1 where d is a multiple of 4."""
     files = repo_files(spark, sf_dir).select("doc_id", "relative_path")
@@ -469,6 +474,9 @@ ORACLE = {
     "tf7_calls": _CODE_SQL + "SELECT doc_id, CASE k WHEN 0 THEN 'pickle.loads' WHEN 1 THEN 'sp.run' WHEN 2 THEN 'helper' ELSE 'eval' END AS callee, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 5 END AS BIGINT) AS line, CASE WHEN k = 1 THEN true END AS shell FROM d",
     "tf9_imports": _CODE_SQL + "SELECT doc_id, CASE k WHEN 0 THEN 'pickle' WHEN 1 THEN 'subprocess' ELSE '.util' END AS module, CASE WHEN k = 2 THEN 'helper' END AS imported_name, CASE k WHEN 0 THEN 'pickle' WHEN 1 THEN 'sp' ELSE 'helper' END AS local_name FROM d WHERE k < 3",
     "tf11_dataflow": _CODE_SQL + "SELECT doc_id, CASE WHEN k IN (0, 2) THEN 'partial' ELSE 'complete' END AS status, CASE k WHEN 3 THEN 'dynamic_evaluation' END AS kind, CAST(CASE k WHEN 3 THEN 3 END AS BIGINT) AS source_line, CAST(CASE k WHEN 3 THEN 5 END AS BIGINT) AS sink_line, CAST(CASE k WHEN 3 THEN 1 END AS BIGINT) AS hops FROM d",
+    "tf15_structural_chunks": _CODE_SQL + """, r(k, symbol_kind, n, q, part_index, start_line, end_line) AS (VALUES (0, 'file', NULL, NULL, 0, 1, 2), (0, 'class', 'C', '', 0, 3, 3), (0, 'method', 'load', '.load', 0, 4, 6), (1, 'file', NULL, NULL, 0, 1, 2), (1, 'function', 'f', '', 0, 3, 4),
+(2, 'file', NULL, NULL, 0, 1, 2), (2, 'function', 'g', '', 0, 3, 6), (3, 'constant', 'LIMIT', 'LIMIT', 0, 1, 1), (3, 'file', NULL, NULL, 0, 2, 2), (3, 'function', 'h', '', 0, 3, 5))
+SELECT relative_path, symbol_kind, CASE WHEN len(n) = 1 THEN n || s ELSE n END AS symbol_name, CASE WHEN len(n) = 1 THEN n || s WHEN n = 'load' THEN 'C' || s || q ELSE q END AS qualified_name, CAST(0 AS BIGINT) AS occurrence, CAST(part_index AS BIGINT) AS part_index, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM d JOIN r USING (k)""",
     "j3_dependency_edges": _CODE_SQL + "SELECT relative_path, 'pkg/util.py' AS target FROM d WHERE k = 2",
     "j4_test_mappings": INVENTORY_SQL + f""", e AS (SELECT a.relative_path, b.relative_path AS target FROM i a JOIN i b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 4 = 0),
 t AS (SELECT relative_path, {_TEST_STEM} AS stem FROM i WHERE test AND {_SOURCE}), s AS (SELECT relative_path AS target, {_STEM} AS stem FROM i WHERE NOT test AND {_SOURCE}),
@@ -528,7 +536,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory_files, ag1_summary, ag2_language_stats, f9_manifests, f10_path_categories, f1_normalized_paths, f17_user_excludes, f19_tracking, f27_mutable_references, j8_tracked_directories, w1_largest_files, w3_file_budget, w4_byte_budget, w5_metadata_budget,
-        ag3_duplicate_groups, ag3_duplicate_members, se1_secret_counts, se2_redaction, sr1_secret_findings, tf3_symbols, tf6_metrics, tf7_calls, tf9_imports, tf11_dataflow, tf15_chunks, j3_dependency_edges, j4_test_mappings, j1_hotspots, ag12_hotspot_status,
+        ag3_duplicate_groups, ag3_duplicate_members, se1_secret_counts, se2_redaction, sr1_secret_findings, tf3_symbols, tf6_metrics, tf7_calls, tf9_imports, tf11_dataflow, tf15_chunks, tf15_structural_chunks, j3_dependency_edges, j4_test_mappings, j1_hotspots, ag12_hotspot_status,
         j6_snapshot_delta, ag14_delta_counts, ev4_events, ev5_apply, j7_base_paths_covered, sr2_primitives, sr7_configuration, sr5_environment_files, ex8_signals, ex2_scripts, ex5_workflows, ex9_compose, ex10_tls, ex4_cargo, ex6_json_workflows, f18_ignored, ag8_statuses, ag11_report_status, ev3_abort_reasons, sk6_uris, sk10_diagnostic_counts, f23_object_ids, ag4_severities, sk6_sarif, cv1_file_coverage, ag5_domain_coverage, ag7_required_gate, cv4_evidence, sk1_chunk_json,
     )
 }
