@@ -116,16 +116,27 @@ class Encoder:
 
     def _empty(self) -> None:
         self.keys, self.starts, self.lengths, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hits = np.zeros(0, np.int32)
+
+    def _shrink(self) -> None:
+        """Keeps the pieces that most chunks had, half as many as may be held; a piece of one chunk alone is not kept."""
+        least = 2
+        if np.count_nonzero(self.hits >= least) > KEPT_PIECES // 2:
+            least = max(least, int(np.partition(self.hits, -(KEPT_PIECES // 2))[-(KEPT_PIECES // 2)]) + 1)
+        keep = np.flatnonzero(self.hits >= least)
+        lengths = self.lengths[keep]
+        starts = np.cumsum(lengths) - lengths
+        self.flat = self.flat[np.repeat(self.starts[keep] - starts, lengths) + np.arange(lengths.sum())]
+        self.keys, self.starts, self.lengths, self.hits = self.keys[keep], starts, lengths, self.hits[keep] // 2 + 1
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.keys) + len(keys) > KEPT_PIECES and len(self.keys):
-            self._empty()
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((x for f in found for x in f), np.uint32, int(lengths.sum()))
         starts = len(self.flat) + np.cumsum(lengths) - lengths
         keys, starts, lengths = np.concatenate((self.keys, keys)), np.concatenate((self.starts, starts)), np.concatenate((self.lengths, lengths))
         order = np.argsort(keys, kind="stable")
+        self.hits = np.concatenate((self.hits, np.zeros(len(found), np.int32)))[order]
         self.keys, self.starts, self.lengths, self.flat = keys[order], starts[order], lengths[order], np.concatenate((self.flat, flat))
 
     def _unknown(self, keys: np.ndarray) -> np.ndarray:
@@ -148,11 +159,15 @@ class Encoder:
             keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             new = np.flatnonzero(self._unknown(keys))
             if len(new):
+                if len(self.keys) + len(new) > KEPT_PIECES:
+                    self._shrink()
+                    new = np.flatnonzero(self._unknown(keys))
                 if len(self.keys) + len(new) > KEPT_PIECES:
                     self._empty()
                     new = np.arange(len(keys))
                 self._learn(keys[new], [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in first[new]])
             at = np.searchsorted(self.keys, keys)
+            self.hits[at] += 1
             lengths = self.lengths[at][inverse]
             total = np.concatenate(([0], np.cumsum(lengths)))
             index = np.repeat(self.starts[at][inverse] - total[:-1], lengths) + np.arange(total[-1])
