@@ -3,11 +3,9 @@
 Lines with a word, without white space at their ends, are known by a hash together with the number of their
 occurrence in the document, so each key occurs once per document. The least document (by doc_id, then text
 hash) that has a key owns it, and every later document with the key meets the owner: one pair per line and
-document, never all pairs of a group. A line is rare for its owner if no more than ``RARE_RATIO`` times as many
-documents have it as have the owner's rarest shared line; only pairs with a rare line go on. Their common
-lines are aligned as in patience diff - all keys are unique, so by the longest run that rises in both
-documents - and aligned blocks (adjacent in both) of at least ``MIN_BLOCK_WORDS`` words that hold a rare
-line are deleted from the later document.
+document, never all pairs of a group. Their common lines, however many documents have them, are aligned as in
+patience diff - all keys are unique, so by the longest run that rises in both documents - and aligned blocks
+(adjacent in both) of at least ``MIN_BLOCK_WORDS`` words are deleted from the later document.
 
 Defined cases: null or empty texts have no lines and stay as they are; rows of one doc_id and text are one
 document and get the same result; rows of one doc_id and different texts are different documents; null
@@ -27,7 +25,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sourcelake.llm import scan
 from sourcelake.llm.shared import Workspace
 
-RARE_RATIO = 4
 MIN_BLOCK_WORDS = 20
 
 
@@ -87,13 +84,13 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def blocks(lines: list[int], others: list[int], words: list[int], rare: list[bool]) -> list[tuple[int, int]]:
+def blocks(lines: list[int], others: list[int], words: list[int]) -> list[tuple[int, int]]:
     """Deleted ranges of lines (past-last exclusive) of a document, from its common lines in order and their places in the earlier document."""
     out: list[tuple[int, int]] = []
     group: list[int] = []
 
     def end() -> None:
-        if group and sum(words[i] for i in group) >= MIN_BLOCK_WORDS and any(rare[i] for i in group):
+        if group and sum(words[i] for i in group) >= MIN_BLOCK_WORDS:
             out.append((lines[group[0]], lines[group[-1]] + 1))
 
     for i in rising(others):
@@ -110,13 +107,12 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
 
     def work(t: pa.Table) -> pa.RecordBatch:
-        cols = [t.column(c).to_pylist() for c in ("d", "t", "line", "other", "words", "rare")]
+        cols = [t.column(c).to_pylist() for c in ("d", "t", "line", "other", "words")]
         pair = list(zip(t.column("od").to_pylist(), t.column("ot").to_pylist(), cols[0], cols[1]))
         made, lo = [], 0
         for i in range(1, len(pair) + 1):
             if i == len(pair) or pair[i] != pair[lo]:
-                if any(cols[5][lo:i]):
-                    made += [(cols[0][lo], cols[1][lo], a, b) for a, b in blocks(*(c[lo:i] for c in cols[2:]))]
+                made += [(cols[0][lo], cols[1][lo], a, b) for a, b in blocks(*(c[lo:i] for c in cols[2:]))]
                 lo = i
         d, h, a, b = zip(*made) if made else ((), (), (), ())
         return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["d", "t", "lo", "hi"])
@@ -142,11 +138,9 @@ def deleted_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     space = Workspace(docs.sparkSession, "lines")
     keys = space.keep(_keys(docs, doc_id, text), "keys")
     place = F.struct("d", "t", "line")
-    owned = keys.groupBy("key").agg(F.min(place).alias("own"), F.max(F.struct("d", "t")).alias("last"), F.count(F.lit(1)).alias("df"))
-    owned = space.keep(owned.where("own.d <> last.d or own.t <> last.t").select("key", F.col("own.d").alias("od"), F.col("own.t").alias("ot"), F.col("own.line").alias("other"), "df"), "owned")
-    least = owned.groupBy("od", "ot").agg(F.min("df").alias("least"))
-    owned = owned.join(least, ["od", "ot"]).withColumn("rare", F.col("df") <= RARE_RATIO * F.col("least")).drop("df", "least")
-    common = keys.join(owned, "key").where("d <> od or t <> ot").select("od", "ot", "d", "t", "line", "other", "words", "rare").distinct()
+    owned = keys.groupBy("key").agg(F.min(place).alias("own"), F.max(F.struct("d", "t")).alias("last"))
+    owned = space.keep(owned.where("own.d <> last.d or own.t <> last.t").select("key", F.col("own.d").alias("od"), F.col("own.t").alias("ot"), F.col("own.line").alias("other")), "owned")
+    common = keys.join(owned, "key").where("d <> od or t <> ot").select("od", "ot", "d", "t", "line", "other", "words").distinct()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = common.repartition(n, "od", "ot", "d", "t").sortWithinPartitions("od", "ot", "d", "t", "line").mapInArrow(_align, "d long, t long, lo int, hi int")
     return space.keep(found.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")), "ranges")

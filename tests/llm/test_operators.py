@@ -237,6 +237,14 @@ def test_lines(spark, odd, none):
     assert lines.rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4]) and lines.line_table(odd).count() == odd.count() and lines.line_table(none).count() == 0
 
 
+def test_lines_of_many_documents(spark):
+    hot = "\n".join(f"line {i} of the passage that is in every document" for i in range(4))
+    table = [(0, "a line that the first document shares with one other\n" + hot), (1, "a line that the first document shares with one other")]
+    table = spark.createDataFrame(table + [(i, f"own line of {i}\n{hot}") for i in range(2, 42)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.remove_lines(table).collect()}
+    assert got[0].endswith(hot) and got[1] and all(got[i] == f"own line of {i}" for i in range(2, 42))
+
+
 def test_mixing(odd, none):
     out = mixing.mix_table(odd)
     again = mixing.mix_table(odd)
