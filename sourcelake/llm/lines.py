@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Lines with a word, without white space at their ends, are known by a hash together with the number of their
-occurrence in the document, so each key occurs once per document. The least document (by doc_id, then text
-hash) that has a key owns it, and every later document with the key meets the owner: one pair per line and
-document, never all pairs of a group. Their common lines, however many documents have them, are aligned as in
-patience diff - all keys are unique, so by the longest run that rises in both documents - and aligned blocks
-(adjacent in both) of at least ``MIN_BLOCK_WORDS`` words are deleted from the later document.
+A block is a run of lines that is the same in two documents, line by line, lines without a word aside and without
+white space at their ends. Every block of at least ``MIN_BLOCK_WORDS`` words that a document shares with any earlier
+one (by doc_id, then text hash) is deleted from it, wherever it stands in the two. This is the result of a local
+alignment of every pair of documents on all their lines, but no pair is built: the seeds of a document are the
+shortest runs of that many words from each line on, and back from each line. A shared block is covered by its own
+seeds, and each seed is a shared block, so a seed is deleted where an earlier document has it. That costs two seeds
+a line at most, however many documents share them, and one group's least document answers for all of them.
+The first document that has a line keeps it, or an even earlier one does.
 
 Defined cases: null or empty texts have no lines and stay as they are; rows of one doc_id and text are one
 document and get the same result; rows of one doc_id and different texts are different documents; null
@@ -36,8 +38,23 @@ def _line_bounds(chunk: scan.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(d, t, line, key, words) of every line with a word; line counts such lines from 0, t is the text's hash."""
+def seeds_of(h: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, past last) of the seeds of texts, from the hashes and numbers of words of their lines and the bounds of each text's lines."""
+    total, at = np.concatenate(([0], np.cumsum(words))), np.arange(len(h))
+    to = np.searchsorted(total, total[:-1] + MIN_BLOCK_WORDS)
+    from_ = np.searchsorted(total, total[1:] - MIN_BLOCK_WORDS, "right") - 1
+    owner = scan.owners(bounds)
+    forth = to <= bounds[1:][owner]
+    back = from_ >= bounds[:-1][owner]
+    back[back] = to[from_[back]] != at[back] + 1  # the others are seeds already
+    lo, hi = np.concatenate((at[forth], from_[back])), np.concatenate((to[forth], at[back] + 1))
+    up, down = scan.powers(len(h) + 1)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+    return scan.mix((prefix[hi] - prefix[lo]) * down[lo] + (hi - lo).astype(np.uint64)), lo, hi
+
+
+def _seeds(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(d, t, lo, hi, key) of every seed; lo and hi count lines with a word from 0, t is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,25 +67,19 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 first, last = first[some], last[some]
                 h = chunk.hashes(starts[first], ends[last - 1])
                 bounds = np.searchsorted(starts[first], chunk.offsets)
-                owner = scan.owners(bounds)
-                order = np.lexsort((h, owner))  # stable: equal lines stay in order
-                run_start = np.ones(len(h), bool)
-                run_start[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-                nth = np.empty(len(h), np.int64)
-                at = np.arange(len(h))
-                nth[order] = at - np.maximum.accumulate(np.where(run_start, at, 0))
-                key = scan.mix(h + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+                key, lo, hi = seeds_of(h, last - first, bounds)
+                owner = scan.owners(bounds)[lo]
                 whole = chunk.hashes(chunk.offsets[:-1], chunk.offsets[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[chunk.first + owner].astype(np.int64)), pa.array(whole[owner].view(np.int64)), pa.array((at - bounds[owner]).astype(np.int32)), pa.array(key.view(np.int64)), pa.array((last - first).astype(np.int32))],
-                    ["d", "t", "line", "key", "words"],
+                    [pa.array(ids[chunk.first + owner].astype(np.int64)), pa.array(whole[owner].view(np.int64)), pa.array((lo - bounds[owner]).astype(np.int32)), pa.array((hi - bounds[owner]).astype(np.int32)), pa.array(key.view(np.int64))],
+                    ["d", "t", "lo", "hi", "key"],
                 )
 
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, "d long, t long, line int, key long, words int")
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, "d long, t long, lo int, hi int, key long")
 
 
 def rising(values: list[int]) -> list[int]:
-    """Indices of a longest strictly rising subsequence."""
+    """Indices of a longest strictly rising subsequence; not part of the deduplication, which also takes blocks that stand in another order."""
     tails, at, before = [], [], [-1] * len(values)
     for i, v in enumerate(values):
         p = bisect.bisect_left(tails, v)
@@ -84,66 +95,31 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def blocks(lines: list[int], others: list[int], words: list[int]) -> list[tuple[int, int]]:
-    """Deleted ranges of lines (past-last exclusive) of a document, from its common lines in order and their places in the earlier document."""
-    out: list[tuple[int, int]] = []
-    group: list[int] = []
-
-    def end() -> None:
-        if group and sum(words[i] for i in group) >= MIN_BLOCK_WORDS:
-            out.append((lines[group[0]], lines[group[-1]] + 1))
-
-    for i in rising(others):
-        if group and (lines[i] != lines[group[-1]] + 1 or others[i] != others[group[-1]] + 1):
-            end()
-            group = []
-        group.append(i)
-    end()
-    return out
-
-
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted common lines, pair by pair, to deleted ranges; a pair may reach over batches."""
-    held = None
-
-    def work(t: pa.Table) -> pa.RecordBatch:
-        cols = [t.column(c).to_pylist() for c in ("d", "t", "line", "other", "words")]
-        pair = list(zip(t.column("od").to_pylist(), t.column("ot").to_pylist(), cols[0], cols[1]))
-        made, lo = [], 0
-        for i in range(1, len(pair) + 1):
-            if i == len(pair) or pair[i] != pair[lo]:
-                made += [(cols[0][lo], cols[1][lo], a, b) for a, b in blocks(*(c[lo:i] for c in cols[2:]))]
-                lo = i
-        d, h, a, b = zip(*made) if made else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["d", "t", "lo", "hi"])
-
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, t, ranges) with ranges that meet or overlap made one, in order."""
     for batch in batches:
-        if not len(batch):
-            continue
-        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        same = np.ones(len(t), bool)
-        for c in ("od", "ot", "d", "t"):
-            x = t.column(c).to_numpy()
-            same &= x == x[-1]
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        held = t.slice(cut)
-        if cut:
-            yield work(t.slice(0, cut))
-    if held is not None:
-        yield work(held)
+        los, his, ends = [], [], [0]
+        for found in batch.column(2):
+            lo, hi = (found.values.field(c).to_numpy() for c in (0, 1))
+            order = np.argsort(lo, kind="stable")
+            lo, hi = lo[order], np.maximum.accumulate(hi[order])
+            new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+            los.append(lo[new]), his.append(hi[np.append(new[1:], len(lo)) - 1])
+            ends.append(ends[-1] + len(new))
+        if len(batch):
+            ranges = pa.StructArray.from_arrays([pa.array(np.concatenate(los)), pa.array(np.concatenate(his))], ["lo", "hi"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ranges)], ["d", "t", "ranges"])
 
 
 def deleted_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, ranges): per document that loses lines, the sorted ranges (lo, hi) of its lines with a word."""
     space = Workspace(docs.sparkSession, "lines")
-    keys = space.keep(_keys(docs, doc_id, text), "keys")
-    place = F.struct("d", "t", "line")
-    owned = keys.groupBy("key").agg(F.min(place).alias("own"), F.max(F.struct("d", "t")).alias("last"))
-    owned = space.keep(owned.where("own.d <> last.d or own.t <> last.t").select("key", F.col("own.d").alias("od"), F.col("own.t").alias("ot"), F.col("own.line").alias("other")), "owned")
-    common = keys.join(owned, "key").where("d <> od or t <> ot").select("od", "ot", "d", "t", "line", "other", "words").distinct()
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = common.repartition(n, "od", "ot", "d", "t").sortWithinPartitions("od", "ot", "d", "t", "line").mapInArrow(_align, "d long, t long, lo int, hi int")
-    return space.keep(found.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")), "ranges")
+    seeds = space.keep(_seeds(docs, doc_id, text), "seeds")
+    place = F.struct("d", "t")
+    owned = seeds.groupBy("key").agg(F.min(place).alias("own"), F.max(place).alias("last"))
+    owned = owned.where("own <> last").select("key", F.col("own.d").alias("od"), F.col("own.t").alias("ot"))
+    found = seeds.join(owned, "key").where("d <> od or t <> ot").groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    return space.keep(found.mapInArrow(_united, "d long, t long, ranges array<struct<lo:int,hi:int>>"), "ranges")
 
 
 def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -245,6 +245,31 @@ def test_lines_of_many_documents(spark):
     assert got[0].endswith(hot) and got[1] and all(got[i] == f"own line of {i}" for i in range(2, 42))
 
 
+def test_lines_equal_the_alignment_of_all_pairs(spark):
+    passage = [f"line {i} of a passage with some words" for i in range(8)]
+    rng = np.random.default_rng(3)
+    table = [(0, "\n".join([passage[2], "own", passage[5]])), (1, "\n".join(passage)), (2, "\n".join(["new", *passage, "end"])), (3, "\n".join(passage[4:] + passage[:4])), (4, "\n".join([passage[3], *passage]))]
+    for i in range(5, 120):  # runs of few different lines, in any order
+        table.append((i, "\n".join(" ".join([f"w{rng.integers(6)}"] * int(rng.integers(3, 30))) if rng.random() < 0.2 else f"a{k} " * (3 + k) for k in rng.integers(0, 9, int(rng.integers(1, 14))))))
+    parts = {i: [line.strip() for line in t.split("\n")] for i, t in table}
+    want = {}
+    for i, b in parts.items():
+        gone = set()
+        for j in range(i):
+            a = parts[j]
+            for shift in range(-len(b), len(a)):
+                run = []
+                for k in range(len(b) + 1):
+                    if k < len(b) and 0 <= k + shift < len(a) and b[k] == a[k + shift]:
+                        run.append(k)
+                    else:
+                        gone.update(run if sum(len(b[x].split()) for x in run) >= lines.MIN_BLOCK_WORDS else [])
+                        run = []
+        want[i] = [x for k, x in enumerate(b) if k not in gone]
+    got = {r.doc_id: [x.strip() for x in r.text.split("\n")] if r.text else [] for r in lines.remove_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == want and got[2] == ["new", "end"] and got[3] == [] and len(got[1]) == 8 and got[4] == [passage[3]]
+
+
 def test_mixing(odd, none):
     out = mixing.mix_table(odd)
     again = mixing.mix_table(odd)
