@@ -1,12 +1,15 @@
 """Language-model scoring: a unigram base, and a log-bilinear neural model trained with noise-contrastive estimation.
 
 Tokens are the words of the text with A-Z lower-cased, known by 64-bit hashes, and one end token. One pass counts
-the training documents' tokens. The ``CLASSES`` most frequent tokens are classes of the neural model, all
-others together are one more. The model predicts a class from the two before it: the sum of an embedding per
-position, times the class's output vector, plus its bias. A second pass trains it in numpy on every training
-token: each partition runs noise-contrastive descent over its tokens from the same start, and the results are
-averaged by tokens. For scoring, matrix products give the normalised log-probabilities of all classes in all
-contexts; a word of the last class is divided further by its smoothed share in that class.
+the training documents' tokens. The words that occur ``LEAST_COUNT`` times or more, so more of them the larger the
+corpus is, and the ``CLASSES`` most frequent ones in any case, are classes of the neural model; all others together
+are one more. The model predicts a class from the two before it: the sum of an embedding per position, times the
+class's output vector, plus its bias. Classes lie in groups by frequency, and the probability is that of the group
+times that of the class in its group, both normalised, so a class costs about the root of their number. A second
+pass trains the model in numpy on every training token: each partition runs noise-contrastive descent over its tokens
+from the same start, for groups and within them, and each class's results are averaged by the steps that moved them.
+Scoring takes matrix products over batches of contexts; a word of the last class is divided further by its smoothed
+share in that class.
 
 Counts of the at most ``FREQUENT`` most frequent tokens are broadcast (16 bytes each); the others' counts reach
 the documents by a join on the token.
@@ -31,9 +34,12 @@ from sourcelake.llm.shared import Workspace
 
 #: Hash of the end token; no word has it, but for one chance in 2**64.
 END = np.uint64(0x5EED0FEE)
-CLASSES, WIDTH = 255, 16
+#: Every word of at least this count is a class, and so are this many most frequent ones in any case.
+LEAST_COUNT, CLASSES, WIDTH = 50, 255, 16
 #: Tokens and step size of a descent step, chosen on fold 3 of the training documents with the model trained on folds 0, 2 and 4.
 BATCH, NOISE, RATE = 512, 24, 0.1
+#: Noise of each token within its group, and contexts that are scored at once.
+INNER, SCORED = 8, 4096
 FREQUENT = 1 << 18
 #: Distinct tokens that a task counts before it hands the counts on.
 HELD = 1 << 20
@@ -91,132 +97,183 @@ class Vocabulary:
     def __init__(self, h: np.ndarray, n: np.ndarray, total: int, types: int):
         order = np.argsort(h)
         self.h, self.n, self.total, self.types = h[order], n[order], total, types
-        top = np.lexsort((self.h, -self.n))[:CLASSES]
-        self.kind = np.full(len(self.h), CLASSES, np.int64)
+        top = np.lexsort((self.h, -self.n))
+        top = top[: max(CLASSES, int((self.n >= LEAST_COUNT).sum()))]
+        #: The class of all words that have none of their own.
+        self.rest = len(top)
+        self.kind = np.full(len(self.h), self.rest, np.int64)
         self.kind[top] = np.arange(len(top))
-        self.class_counts = np.zeros(CLASSES + 1)
-        self.class_counts[: len(top)] = self.n[top]
-        self.class_counts[CLASSES] = total - self.n[top].sum()
+        self.class_counts = np.append(self.n[top], total - self.n[top].sum()).astype(float)
         self.rest_total, self.rest_types = total - int(self.n[top].sum()), types - len(top)
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, class) of tokens; count 0 where a token is not among the frequent ones."""
         if not len(self.h):
-            return np.zeros(len(h), np.int64), np.full(len(h), CLASSES)
+            return np.zeros(len(h), np.int64), np.full(len(h), self.rest)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         hit = self.h[at] == h
-        return np.where(hit, self.n[at], 0), np.where(hit, self.kind[at], CLASSES)
+        return np.where(hit, self.n[at], 0), np.where(hit, self.kind[at], self.rest)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
 class LogBilinear:
-    """Two embeddings of a context class (by position), output vectors and biases. Class ``CLASSES + 1`` is the start of a text."""
-
-    def __init__(self, parameters: np.ndarray | None = None, class_counts: np.ndarray | None = None):
-        c, d = CLASSES + 1, WIDTH
-        self.shapes = [(c + 1, d), (c + 1, d), (c, d), (c,)]
-        if parameters is None:
-            rng = np.random.Generator(np.random.PCG64(7))
-            self.near, self.far, self.out = (rng.normal(0, 0.1, s).astype(np.float32) for s in self.shapes[:3])
-            p = (class_counts + 0.5) / (class_counts + 0.5).sum()
-            self.bias = np.log(p).astype(np.float32)
-        else:
-            at, parts = 0, []
-            for s in self.shapes:
-                parts.append(parameters[at : at + int(np.prod(s))].reshape(s).astype(np.float32))
-                at += int(np.prod(s))
-            self.near, self.far, self.out, self.bias = parts
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.near, self.far, self.out, self.bias)])
-
-    def train(self, near: np.ndarray, far: np.ndarray, word: np.ndarray, noise: np.ndarray, memory: list, rate: float) -> None:
-        """One descent step (AdaGrad) on a batch: true classes against noise that the batch shares."""
-        k, size = len(noise), np.float32(len(word))
-        log_q = self.log_noise
-        h = self.near[near] + self.far[far]
-        q = self.out[word]
-        true = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", h, q) + self.bias[word] - log_q[word] - np.log(k)).astype(np.float32))) - 1
-        fake = 1 / (1 + np.exp(-(h @ self.out[noise].T + self.bias[noise] - log_q[noise] - np.log(k)).astype(np.float32)))
-        dh = true[:, None] * q + fake @ self.out[noise]
-        c = CLASSES + 1
-        spread = lambda at, g, rows: np.stack([np.bincount(at, g[:, j], rows) for j in range(WIDTH)], 1)
-        d_out = spread(word, true[:, None] * h, c)
-        np.add.at(d_out, noise, fake.T @ h)
-        d_bias = np.bincount(word, true, c)
-        np.add.at(d_bias, noise, fake.sum(0))
-        grads = [spread(near, dh, c + 1), spread(far, dh, c + 1), d_out, d_bias]
-        for p, g, m in zip((self.near, self.far, self.out, self.bias), grads, memory):
-            g = (g / size * 100).astype(np.float32)
-            m += g * g
-            p -= np.float32(rate) * g / np.sqrt(m + 1e-6)
+    """Two embeddings of a context class (by position), output vectors with biases, and the same for groups of classes.
+
+    Classes are numbered by falling frequency; the last one, ``rest``, is a group of its own, and ``rest + 1`` as a context is the start of a text.
+    """
+
+    def __init__(self, class_counts: np.ndarray):
+        n = self.rest = len(class_counts) - 1
+        g = max(1, round(0.6 * n**0.5))
+        # groups of frequent classes are small, as they are looked into most
+        self.bounds = np.unique(np.round(n * (np.arange(g + 1) / g) ** 3).astype(np.int64))
+        self.sizes = np.append(np.diff(self.bounds), 1)
+        self.group_of = np.append(np.repeat(np.arange(len(self.sizes) - 1), self.sizes[:-1]), len(self.sizes) - 1)
+        p = (class_counts + 0.5) / (class_counts + 0.5).sum()
+        self.group_p = np.bincount(self.group_of, p)
+        rng = np.random.Generator(np.random.PCG64(7))
+        self.near, self.far = (rng.normal(0, 0.1, (n + 2, WIDTH)).astype(np.float32) for _ in range(2))
+        self.out, self.heads = (rng.normal(0, 0.1, (k, WIDTH + 1)).astype(np.float32) for k in (n + 2, len(self.sizes)))
+        self.out[: n + 1, WIDTH] = np.log(p / self.group_p[self.group_of])
+        self.heads[:, WIDTH] = np.log(self.group_p)
+
+    def begin(self) -> None:
+        """What training needs besides the parameters."""
+        self.log_noise = np.log(NOISE * self.group_p).astype(np.float32)
+        self.inner_noise = np.log(INNER / self.sizes).astype(np.float32)
+        self.noise_steps = np.cumsum(self.group_p)
+        self.first = np.append(self.bounds[:-1], self.rest)
+        self.memory = {k: np.zeros_like(getattr(self, k)) for k in ("near", "far", "out", "heads")}
+        #: Steps that moved a class or group.
+        self.moved, self.moved_heads = np.zeros(self.rest + 2, np.int64), np.zeros(len(self.sizes), np.int64)
+        self.rng = np.random.Generator(np.random.PCG64(11))
+
+    def _step(self, name: str, at: np.ndarray, g: np.ndarray, scale: float, rate: float) -> None:
+        """AdaGrad on the rows that have a gradient."""
+        order = np.argsort(at, kind="stable")
+        run = at[order]
+        first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        g, rows = np.add.reduceat(g[order], first, axis=0) * np.float32(scale), run[first]
+        m = self.memory[name][rows] + g * g
+        self.memory[name][rows] = m
+        getattr(self, name)[rows] -= np.float32(rate) * g / np.sqrt(m + 1e-6)
+        (self.moved_heads if name == "heads" else self.moved)[rows] += 1
+
+    def context(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        h = np.ones((len(near), WIDTH + 1), np.float32)
+        h[:, :WIDTH] = self.near[near] + self.far[far]
+        return h
+
+    def train(self, near: np.ndarray, far: np.ndarray, word: np.ndarray, rate: float) -> None:
+        """One descent step on a batch: true groups against noise that the batch shares, true classes against others of their group."""
+        h, group, scale = self.context(near, far), self.group_of[word], 100 / len(word)
+        noise = np.minimum(np.searchsorted(self.noise_steps, self.rng.random(NOISE)), len(self.sizes) - 1)
+        q, other = self.heads[group], self.heads[noise]
+        true = _sigmoid(np.einsum("ij,ij->i", h, q) - self.log_noise[group]) - 1
+        fake = _sigmoid(h @ other.T - self.log_noise[noise])
+        dh = true[:, None] * q + fake @ other
+        heads = np.concatenate((true[:, None] * h, fake.T @ h))
+        at = np.flatnonzero(self.sizes[group] > 1)
+        if len(at):
+            g, w, hw = group[at], word[at], h[at]
+            drawn = self.first[g][:, None] + (self.rng.random((len(at), INNER), np.float32) * self.sizes[g][:, None]).astype(np.int64)
+            drawn = np.minimum(drawn, (self.first[g] + self.sizes[g] - 1)[:, None])
+            q, other = self.out[w], self.out[drawn]
+            true = _sigmoid(np.einsum("ij,ij->i", hw, q) - self.inner_noise[g]) - 1
+            fake = _sigmoid(np.matmul(other, hw[:, :, None])[:, :, 0] - self.inner_noise[g][:, None])
+            dh[at] += true[:, None] * q + np.matmul(fake[:, None, :], other)[:, 0]
+            self._step("out", np.concatenate((w, drawn.ravel())), np.concatenate((true[:, None] * hw, (fake[:, :, None] * hw[:, None, :]).reshape(-1, WIDTH + 1))), scale, rate)
+        self._step("heads", np.concatenate((group, noise)), heads, scale, rate)
+        self._step("near", near, dh[:, :WIDTH], scale, rate)
+        self._step("far", far, dh[:, :WIDTH], scale, rate)
+
+    def log10(self, near: np.ndarray, far: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 probability of each class in its context."""
+        h, group, out = self.context(near, far), self.group_of[word], np.empty(len(word), np.float32)
+
+        def of(h: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+            s = h @ vectors.T
+            true = s[np.arange(len(at)), at]
+            top = s.max()
+            if top - s.min() > 60:
+                top = s.max(1, keepdims=True)
+            s -= top
+            np.exp(s, out=s)
+            return true - np.ravel(top) - np.log(s.sum(1))
+
+        for lo in range(0, len(word), SCORED):
+            cut = slice(lo, lo + SCORED)
+            out[cut] = of(h[cut], self.heads, group[cut])
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(len(self.sizes) + 1))
+        for g in np.flatnonzero((np.diff(ends) > 0) & (self.sizes > 1)):
+            first = self.bounds[g]
+            vectors = self.out[first : first + self.sizes[g]]
+            for lo in range(ends[g], ends[g + 1], SCORED):
+                at = order[lo : min(lo + SCORED, ends[g + 1])]
+                out[at] += of(h[at], vectors, word[at] - first)
+        return np.minimum(out, 0) / np.float32(np.log(10))
 
     def table(self) -> np.ndarray:
-        """log10 probability of every class in every context, as (near, far, class)."""
-        c = CLASSES + 1
-        out = np.empty((c + 1, c + 1, c), np.float32)
-        for i in range(c + 1):
-            s = (self.near[i] + self.far) @ self.out.T + self.bias
-            s -= s.max(1, keepdims=True)
-            out[i] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-        return out
+        """log10 probability of every class in every context, as (near, far, class): for small models."""
+        c = self.rest + 1
+        far, word = (x.ravel() for x in np.meshgrid(np.arange(c + 1), np.arange(c), indexing="ij"))
+        return np.stack([self.log10(np.full(len(far), i), far, word).reshape(c + 1, c) for i in range(c + 1)])
 
 
-def _contexts(kinds: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _contexts(kinds: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The classes one and two tokens before each token, the start class before a text's first."""
     near, far = np.empty_like(kinds), np.empty_like(kinds)
     near[1:], far[2:] = kinds[:-1], kinds[:-2]
     first = bounds[:-1][np.diff(bounds) > 0]
-    near[first] = far[first] = CLASSES + 1
+    near[first] = far[first] = start
     second = first + 1
     second = second[second < len(kinds)]
-    far[second] = CLASSES + 1
+    far[second] = start
     return near, far
 
 
 def fit(training: DataFrame, vocabulary, text: str = "text", rate: float = RATE, size: int = BATCH) -> LogBilinear:
     """Trains on every token of ``training``; the driver receives one number per parameter."""
-    start = LogBilinear(class_counts=vocabulary.value.class_counts)
+    width = 3 * WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        q = (v.class_counts + 0.5) / (v.class_counts + 0.5).sum()
-        model = LogBilinear(class_counts=v.class_counts)
-        model.log_noise = np.log(q).astype(np.float32)
-        memory = [np.zeros(s, np.float32) for s in model.shapes]
-        rng = np.random.Generator(np.random.PCG64(11))
-        seen = 0
+        model = LogBilinear(v.class_counts)
+        model.begin()
         for batch in batches:
             for _, h, bounds in _tokens(batch.column(0)):
                 _, kinds = v.look(h)
-                near, far = _contexts(kinds, bounds)
+                near, far = _contexts(kinds, bounds, v.rest + 1)
                 for lo in range(0, len(kinds), size):
                     cut = slice(lo, lo + size)
-                    model.train(near[cut], far[cut], kinds[cut], rng.choice(len(q), NOISE, p=q), memory, rate)
-                seen += len(kinds)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"weight": [seen], "parameters": [np.round(model.flat() * 1e6).astype(np.int64)]})
-
-    rows = training.select(text).mapInArrow(run, "weight long, parameters array<long>").select("weight", F.posexplode("parameters").alias("i", "p"))
+                    model.train(near[cut], far[cut], kinds[cut], rate)
+        heads = np.zeros((len(model.heads), width), np.float32)
+        heads[:, 2 * WIDTH :] = model.heads
+        # classes first, then groups
+        moved = np.concatenate((model.moved, model.moved_heads))
+        rows = np.flatnonzero(moved)
+        for lo in range(0, len(rows), SCORED):
+            at = rows[lo : lo + SCORED]
+            words, groups = at[at < len(model.near)], at[at >= len(model.near)] - len(model.near)
+            values = np.concatenate((np.hstack((model.near[words], model.far[words], model.out[words])), heads[groups]))
+            values = np.round(values.astype(np.float64) * 1e6).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(moved[at]), *map(pa.array, np.ascontiguousarray(values.T))], ["row", "weight", *names])
+
+    names = [f"p{i}" for i in range(width)]
+    rows = training.select(text).mapInArrow(run, f"row int, weight long, {', '.join(f'{c} int' for c in names)}")
     # whole numbers, so the mean does not depend on the order of partitions
-    mean = F.sum(F.col("weight").cast("decimal(19,0)") * F.col("p").cast("decimal(18,0)")).cast("double") / F.sum("weight") / 1e6
-    got = rows.groupBy("i").agg(mean.alias("p")).collect()
-    if not got:
-        return start
-    flat = np.zeros(len(got))
-    for r in got:
-        flat[r.i] = r.p
-    return LogBilinear(flat)
-
-
-_tables: dict[bytes, np.ndarray] = {}
-
-
-def _table(parameters: np.ndarray) -> np.ndarray:
-    key = parameters.tobytes()
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = LogBilinear(parameters).table()
-    return _tables[key]
+    sums = rows.groupBy("row").agg(F.sum("weight").alias("weight"), *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in names])
+    got = sums.select("row", *[(F.col(c) / F.col("weight") / 1e6).cast("float").alias(c) for c in names]).toArrow()
+    model = LogBilinear(vocabulary.value.class_counts)
+    at, values = got["row"].to_numpy(), np.stack([got[c].to_numpy() for c in names], 1)
+    word, n = at < len(model.near), len(model.near)
+    model.near[at[word]], model.far[at[word]], model.out[at[word]] = values[word, :WIDTH], values[word, WIDTH : 2 * WIDTH], values[word, 2 * WIDTH :]
+    model.heads[at[~word] - n] = values[~word, 2 * WIDTH :]
+    return model
 
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
@@ -253,21 +310,21 @@ def score_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     counts = space.keep(count_tokens(training), "counts")
     voc = vocabulary_of(counts)
     vocabulary = spark.sparkContext.broadcast(voc)
-    parameters = spark.sparkContext.broadcast(fit(training, vocabulary, rate=rate, size=size).flat().astype(np.float64))
+    model = spark.sparkContext.broadcast(fit(training, vocabulary, rate=rate, size=size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, table = vocabulary.value, _table(parameters.value)
+        v = vocabulary.value
         base_of = np.log10(v.total + 0.5 * (v.types + 1))
         rest_of = np.log10(v.rest_total + 0.5 * (v.rest_types + 1))
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for chunk, h, bounds in _tokens(batch.column(1)):
                 n, kinds = v.look(h)
-                near, far = _contexts(kinds, bounds)
+                near, far = _contexts(kinds, bounds, v.rest + 1)
                 by = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[bounds])
                 share = np.where(n > 0, np.log10(n + 0.5), 0.0)
-                rest = kinds == CLASSES
-                score = table[near, far, kinds] + np.where(rest, share - rest_of, 0.0)
+                rest = kinds == v.rest
+                score = model.value.log10(near, far, kinds) + np.where(rest, share - rest_of, 0.0)
                 rare = np.flatnonzero(n == 0)
                 cut = np.searchsorted(rare, bounds)
                 # distinct rare tokens of each text with their numbers

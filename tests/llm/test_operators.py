@@ -134,6 +134,20 @@ def test_lm_is_normalised_and_beats_the_base(spark):
     assert np.allclose((10.0 ** model.table()).sum(2), 1, atol=1e-4)
 
 
+def test_lm_classes_grow_with_the_corpus(spark):
+    sizes = []
+    for kinds in (300, 900):  # each word of an even number is followed by the next odd one
+        rng = np.random.default_rng(kinds)
+        texts = [" ".join(f"v{2 * k} v{2 * k + 1}" for k in rng.integers(0, kinds, 60)) for _ in range(kinds * 2)]
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+        voc = lm.vocabulary_of(lm.count_tokens(table.where(~lm.held_out())))
+        sizes.append(voc.rest)
+        got = lm.score_table(table).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert 500 < sizes[0] <= 601 and 1500 < sizes[1] <= 1801
+    # only a model that tells these words apart as contexts knows every second one
+    assert got[0] > got[1] + 0.25 * got[2]
+
+
 def components(source):
     sets = {}
     for i, t in source:
