@@ -38,7 +38,7 @@ WIDE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[._/]|[ ._/-]{2})[0-9]{4}(?:[._/]|[ ._/-]{2})[0-9]{4}(?:[._/]|[ ._/-]{2})[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:00 ?[0-9]{1,3}[ .-])?\(?[0-9]{3,4}\)?[ .-][0-9]{3}[ .-][0-9]{3,4}(?![0-9.-]?[0-9])",
 }
-#: A text without this character has no match.
+#: A text without one of these has no match; other kinds' texts are tried for digits: a looser form has three in a row, a card twelve with single separators.
 NEEDS = {("email", 0): ["@"], ("ip", 0): ["."], ("phone", 0): ["+"], ("email", 1): ["[at]", "(at)", "[AT]", "(AT)"]}
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 #: Words near a candidate, by what they speak for.
@@ -105,7 +105,7 @@ def _found(text: Column, kind: str, wide: bool) -> Column:
     test = F.lit(False)
     for mark in needs or []:
         test = test | text.contains(mark)
-    return F.when(test if needs else text.rlike("[0-9]{3}" if wide or kind == "card" else "[0-9]"), out).otherwise(F.array().cast(CANDIDATE))
+    return F.when(test if needs else text.rlike("[0-9]{3}" if wide else r"[0-9](?:[ -]?[0-9]){11}"), out).otherwise(F.array().cast(CANDIDATE))
 
 
 def candidates(docs: DataFrame, text: str = "text", name: str = "__p_candidates") -> DataFrame:

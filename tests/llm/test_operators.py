@@ -113,6 +113,12 @@ def test_pii(spark, odd, docs, none):
     assert pii.redact(extra).where("doc_id = 2002").first().text == "[card] +1 (988) 555-2485 300.1.1.1 +12"  # the phone match runs on to 17 digits and is dropped
 
 
+def test_pii_cards_without_three_digits_in_a_row(spark):
+    texts = ["41 11 11 11 11 11 11 11", "no. 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1!", "41 11 11 11 11 12", "4 1  1 1"]
+    got = {r.doc_id: (r.n_card, r.spans) for r in pii.pii_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (1, "card:0:23"), 1: (1, "card:4:35"), 2: (int(luhn("411111111112")), "card:0:17" if luhn("411111111112") else ""), 3: (0, "")}
+
+
 def test_lm(spark, odd, docs, none):
     for table in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
         source = [(r.doc_id, [*words(r.text), None]) for r in table.collect()]
