@@ -173,7 +173,7 @@ class Run:
         code = plan.parsed(self.scan).persist()
         found = plan.findings(self.scan, code).persist()
         counts = {r.severity: r.findings for r in security.by_severity(found).collect()}
-        domains = list(rows_of(security.domain_coverage(plan.coverage(self.scan, found)).orderBy("domain")))
+        domains = list(rows_of(security.domain_coverage(plan.coverage(self.scan, found, code)).orderBy("domain")))
         unsure = plan.incomplete(self.scan) or bool(found.where("limited").limit(1).count()) or any(d["partial"] for d in domains if d["domain"] != "bounded_dataflow")
         shown = found.drop("place", "limited")
         if a.format == "sarif":

@@ -118,8 +118,11 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.join(F.broadcast(indexed), "rule_id").select("rule_id", "rule_index", F.element_at(levels, F.col("severity")).alias("level"), F.replace(uri, F.lit("+"), F.lit("%20")).alias("uri"), "line")
 
 
-def file_coverage(inv: DataFrame, findings: DataFrame) -> DataFrame:
-    """Five rows a file: the status of each domain, and its number of findings where it is complete (else null)."""
+def file_coverage(inv: DataFrame, findings: DataFrame, stopped: DataFrame | None = None) -> DataFrame:
+    """Five rows a file: the status of each domain, and its number of findings where it is complete (else null).
+
+    ``stopped`` (relative_path, domain) tells where a parser or a limit left a domain partial; without it this takes every file as seen to its end.
+    """
     domain = F.explode(F.array(*map(F.lit, DOMAINS)))
     rows = inv.select("relative_path", "language", "binary", domain.alias("domain"))
     counts = findings.groupBy("relative_path", "domain").agg(F.count(F.lit(1)).alias("n"))
@@ -127,6 +130,8 @@ def file_coverage(inv: DataFrame, findings: DataFrame) -> DataFrame:
     supported = F.when(F.col("domain") == "bounded_dataflow", F.col("language") == "python").otherwise(F.col("language").isin("php", "javascript", "typescript", "python"))
     status = F.when(F.col("binary"), "excluded").when(needs_parser & ~supported, "unsupported").otherwise("complete")
     joined = rows.join(counts, ["relative_path", "domain"], "left").withColumn("status", status)
+    if stopped is not None:
+        joined = joined.join(stopped.distinct().withColumn("stopped", F.lit(True)), ["relative_path", "domain"], "left").withColumn("status", F.when(F.col("stopped") & (F.col("status") == "complete"), "partial").otherwise(F.col("status")))
     return joined.select("relative_path", "domain", "status", F.lit(True).alias("selected"), F.lit(True).alias("read"), F.when(needs_parser, F.col("status") == "complete").alias("parsed"), (F.col("status") == "complete").alias("evaluated"), F.when(F.col("status") == "complete", F.coalesce("n", F.lit(0))).cast("long").alias("finding_count"))
 
 

@@ -65,10 +65,19 @@ def signals(scan: Scan, found: DataFrame) -> DataFrame:
     return security.execution_signals(text, found).unionByName(signals_of(yaml_signals(text))).unionByName(signals_of(manifest_signals(text))).distinct()
 
 
-def coverage(scan: Scan, found: DataFrame) -> DataFrame:
-    """Coverage by file and domain, with the findings of each."""
+def coverage(scan: Scan, found: DataFrame, code: DataFrame) -> DataFrame:
+    """Coverage by file and domain, with the findings of each: partial where the parser, the dataflow or the limit of findings stopped."""
     domain = F.when(F.col("rule_id").startswith("secret."), "secrets").when(F.col("rule_id").startswith("config-"), "configuration").otherwise("dangerous_primitives")
-    return security.file_coverage(scan.files, found.select("relative_path", domain.alias("domain")))
+    of = lambda df, name: df.select("relative_path", F.lit(name).alias("domain"))
+    seen = found.select("relative_path", domain.alias("domain"))
+    seen = seen.unionByName(of(signals(scan, found.select("rule_id", "severity", "relative_path", "line")), "execution_surface"))
+    seen = seen.unionByName(of(code.select("relative_path", F.explode("parsed.flows")), "bounded_dataflow"))
+    stopped = of(code.where("parsed.flow_status = 'partial'"), "bounded_dataflow")
+    for name in ("dangerous_primitives", "execution_surface"):
+        stopped = stopped.unionByName(of(code.where("parsed.status = 'partial'"), name))
+    for name in ("secrets", "configuration", "dangerous_primitives", "execution_surface"):
+        stopped = stopped.unionByName(of(found.where("limited"), name))
+    return security.file_coverage(scan.files, seen, stopped)
 
 
 def incomplete(scan: Scan) -> bool:

