@@ -27,6 +27,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it differ from all ``columns`` (Spark tells no cases apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 class Workspace:
     """Tables of one run. ``keep`` writes a DataFrame and reads it again, which cuts its lineage durably; ``drop`` deletes tables that are no longer read."""
 

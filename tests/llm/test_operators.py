@@ -299,9 +299,35 @@ def test_lines_equal_the_alignment_of_all_pairs(spark):
                         run = []
         want[i] = [x for k, x in enumerate(b) if k not in gone]
     got = {r.doc_id: [x.strip() for x in r.text.split("\n")] if r.text else [] for r in lines.remove_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    in_order = {r.doc_id: r.text.count("\n") + 1 for r in lines.remove_lines(spark.createDataFrame(table[:4], "doc_id long, text string"), moved=False).collect()}
+    assert in_order == {0: 3, 1: 8, 2: 2, 3: 4}  # of two halves that changed places one is in order
     assert got == want and got[2] == ["new", "end"] and got[3] == [] and len(got[1]) == 8 and got[4] == [passage[3]]
 
 
+def test_patience_alignment():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        at = rng.integers(0, 9, n)
+        best = [0] * n
+        for i in range(n):
+            best[i] = 1 + max([best[j] for j in range(i) if at[j] < at[i]], default=0)
+        found = [int(at[i]) for i in lines.rising(at.tolist())]
+        assert found == sorted(set(found)) and len(found) == max(best)
+        blocks = lines.align(np.arange(n), np.arange(n) + 1, at)
+        assert sorted(k for lo, hi, _, _ in blocks for k in range(lo, hi)) == list(range(n))
+        assert all(at[k] == first + k - lo for lo, hi, first, _ in blocks for k in range(lo, hi))
+        assert sum(hi - lo for lo, hi, _, moved in blocks if not moved) == max(best)
+
+
+def test_lines_with_null_ids_and_clashing_names(spark):
+    a = "\n".join(f"line {i} of a passage with several words" for i in range(6))
+    table = spark.createDataFrame([(None, a, 1, 2), (None, a, 1, 2), (1, a, 3, 4), (2, a, 5, 6)], "doc_id long, text string, __l_lines long, __l_d int")
+    got = lines.remove_lines(table)
+    assert got.columns == ["doc_id", "text", "__l_lines", "__l_d", "__l_lines_", "__l_deleted"]
+    assert sorted((r[0] or 0, r[1], r[2], r[3], r[5]) for r in got.collect()) == [(0, a, 1, 2, 0), (0, a, 1, 2, 0), (1, a, 3, 4, 0), (2, "", 5, 6, 6)]
+
+
 def test_mixing(odd, none):
     out = mixing.mix_table(odd)
     again = mixing.mix_table(odd)
