@@ -12,10 +12,13 @@ shingles, which bounds the overlap from above and spares most pairs the comparis
 2. A second pass gives prefixes. In each list of documents with a common prefix shingle all are linked to the
    list's least document; each document verifies the one of these that it shares most shingles with, if enough. This
    finds groups of near copies with as many candidates as documents.
-3. Among documents of one list that are then still in different components all pairs that share enough
-   prefix shingles are verified. No pair that could join two components is left out: pairs are passed over
-   only where a parity bitmap of each whole set (an element in one set alone flips at most one bit) shows
-   that the sets differ in more elements than similar sets can.
+3. Documents of one list that are then still in different components meet in that of their first common shingle.
+   What stands before it in the order is in one of them alone, so a shingle far back in a set admits only much smaller
+   partners or none: each entry has a largest partner, and entries join within bands of set sizes. This keeps
+   a shingle that very many documents have, which is last in the order of each, from making pairs of all of them.
+   Pairs that share as many prefix shingles as both need are verified. No pair that could join two components is
+   left out: others are passed over only where a parity bitmap of each whole set (an element in one set
+   alone flips at most one bit) shows that the sets differ in more elements than similar sets can.
 
 Lists of shingles that the sketch calls hot are dealt out by a salt and joined by their least documents.
 Components are exact; links inside a component are not all counted.
@@ -24,11 +27,12 @@ Defined cases: null or empty texts have no shingles and are linked with nothing,
 as component; fewer than five words are one shingle; rows that repeat a doc_id are one node (it links if any
 of its texts does) and each gets a row; null doc_ids are linked with nothing and get a null component; empty
 tables give empty results; other columns are ignored by ``similarity_table`` and pass through
-``deduplicate``, internal names begin with ``__j_``.
+``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,7 @@ from pyspark.sql.window import Window
 
 from sourcelake.llm import scan
 from sourcelake.llm.components import components
-from sourcelake.llm.shared import Workspace
+from sourcelake.llm.shared import Workspace, fresh
 
 SHINGLE, PERCENT = 5, 75
 #: The sketch has 2**20 counters of 4 bytes, whatever the size of the corpus.
@@ -52,6 +56,8 @@ HOT = 20_000
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of a set's parity bitmap.
 MAP_WORDS = 8
+#: Sets of similar sizes lie in one band or in bands side by side.
+BAND = 100 / PERCENT
 MAP = [f"m{i}" for i in range(MAP_WORDS)]
 _SIGNED = np.int64
 
@@ -143,7 +149,7 @@ def _chosen(docs: DataFrame, ids: DataFrame, doc_id: str, how: str, count: int)
 
 
 def _prefixes(docs: DataFrame, doc_id: str, text: str, sketch) -> DataFrame:
-    """(token, salt, doc, n, need) for every prefix shingle."""
+    """(token, salt, doc, n, need, pos) for every prefix shingle; pos counts the set's shingles before it in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -162,9 +168,9 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, sketch) -> DataFrame:
                 doc, seen = np.repeat(ids[rows], lengths), np.concatenate(seen).astype(np.int64)
                 ways = np.where(seen >= HOT, seen // (HOT // 2), 1).astype(np.uint64)
                 salt = (scan.mix(doc.astype(np.int64).view(np.uint64)) % ways + (ways > 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(_SIGNED)), pa.array(salt), pa.array(doc.astype(np.int64)), pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(np.repeat(needs, lengths).astype(np.int8))], ["token", "salt", "doc", "n", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(_SIGNED)), pa.array(salt), pa.array(doc.astype(np.int64)), pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(np.repeat(needs, lengths).astype(np.int8)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))], ["token", "salt", "doc", "n", "need", "pos"])
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "token long, salt int, doc long, n int, need byte")
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "token long, salt int, doc long, n int, need byte, pos int")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -186,6 +192,10 @@ def _enough(shared, n, need, m, other):
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (shared >= F.greatest(F.least(need, other).cast("long"), overlap - rest))
 
 
+def _band(n):
+    return F.floor(F.log(n) / math.log(BAND) + 1e-9).cast("int")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, space: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = space.keep(pairs, f"{name}_pairs")
@@ -233,20 +243,30 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     links = _verified(best, docs, doc_id, text, space, "stars")
     near = components(links, space, "near").select(F.col("node").alias("doc"), "component")
 
-    # lists that still meet several components: every pair across them that shares enough of its prefixes
-    placed = listed.select("token", "doc", "n", "need").join(near, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    # lists that still meet several components: pairs across them by the first shingle that they share
+    placed = listed.select("token", "doc", "n", "need", "pos").join(near, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = space.keep(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_ = placed.join(mixed, "token", "left_semi").distinct().join(classes.select(F.col("node").alias("doc"), *MAP), "doc")
-    open_ = space.keep(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    alike = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
+    # the overlap is at most n - pos, and similar sets of n and m share PERCENT (n + m) / (100 + PERCENT)
+    most = F.floor((100 + PERCENT) * (F.col("n") - F.col("pos")) / F.lit(PERCENT) - F.col("n")).cast("int")
+    entries = placed.withColumn("most", most).where(100 * F.col("most") >= PERCENT * F.col("n"))
+    open_ = entries.join(mixed, "token", "left_semi").join(classes.select(F.col("node").alias("doc"), *MAP), "doc")
+    open_ = space.keep(open_.withColumn("band", _band(F.col("n"))), "open")
+    # x is the larger set, and the later doc among sets of one size
+    reach = F.sequence(_band(F.ceil(PERCENT * F.col("n") / 100)), F.greatest(_band(F.ceil(PERCENT * F.col("n") / 100)), _band(F.least("n", "most"))))
+    x, y = open_.drop("band").withColumn("band", F.explode(reach)).alias("x"), open_.where("most >= n").alias("y")
+    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") > F.col("y.doc")))
+    alike = larger & (F.col("x.component") != F.col("y.component")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n")) & (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most"))
     both, differ = F.col("x.n") + F.col("y.n"), F.lit(0)
     for m in MAP:
         differ = differ + F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}")))
     alike = alike & (differ <= both - 2 * F.ceil(PERCENT * both / (100 + PERCENT)))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & alike).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"), *[F.min(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "need")])
-    rest = met.where(_enough(F.col("shared"), F.col("x_n"), F.col("x_need"), F.col("y_n"), F.col("y_need"))).select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & alike).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    met = space.keep(met.join(best.select("a", "b"), ["a", "b"], "left_anti"), "met")
+    prefix = placed.join(met.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc", "left_semi").groupBy("doc").agg(F.collect_set("token").alias("tokens"), F.min("n").alias("n"), F.min("need").alias("need"))
+    sides = [prefix.select(*[F.col(c).alias(f"{side}_{c}") for c in prefix.columns]).withColumnRenamed(f"{side}_doc", key) for side, key in (("x", "a"), ("y", "b"))]
+    rest = met.join(sides[0], "a").join(sides[1], "b").withColumn("shared", F.size(F.array_intersect("x_tokens", "y_tokens")))
+    rest = rest.where(_enough(F.col("shared"), F.col("x_n"), F.col("x_need"), F.col("y_n"), F.col("y_need"))).select("a", "b")
     more = _verified(rest, docs, doc_id, text, space, "rest")
     group = components(links.union(more), space, "group")
     nodes = classes.join(group, "node", "left").select("a", "b", "n", F.coalesce("component", "node").alias("component"))
@@ -268,9 +288,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     space = Workspace(docs.sparkSession, "deduplicate")
     table = similarity_table(docs, doc_id, text)
-    key = "__j_id"
-    while key in docs.columns:
-        key += "_"
+    (key,) = fresh(docs.columns, "__j_id")
     gone = space.keep(table.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias(key)).distinct(), "gone")
     hinted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(hinted, F.col(doc_id) == F.col(key), "left_anti")
