@@ -7,12 +7,13 @@ least distance, every step over all rows as one grouped aggregate; the estimate
 stays. Documents beyond ``cutoff`` squared Mahalanobis distances go.
 
 The quantile of each step is taken from a histogram of distances, and sums run over integers (statistics in
-thousandths), so results do not depend on the order of rows. Groups of under ``min_group`` rows are pooled;
-should the pool be as small, nothing in it is rejected by distance.
+thousandths), so results do not depend on the order of rows. A group of under ``min_group`` rows is judged by the
+estimate of its whole language, or if that has as few, of all rows, however many these are; ``FLOOR`` keeps
+the covariance of few rows regular. Every row that passes the base rule is judged.
 
 Defined cases: null or empty texts have no words and fail the base rule; null languages and sources are values
 of their own; repeated rows count as often as they occur; an empty table gives an empty result; other
-columns pass through ``filter_documents`` and internal names begin with ``__q_``.
+columns, whatever their names, pass through ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -132,22 +133,36 @@ def _distance():
     return F.greatest(total, F.lit(0.0))
 
 
-def _grouped(df: DataFrame, groups: DataFrame, lang: str, source: str) -> DataFrame:
-    """``df`` with the group that judges each row: its own, or the pool of small groups (both names null, ``pooled``)."""
-    g = groups.select(F.col("__q_lang").alias("__q_gl"), F.col("__q_source").alias("__q_gs"), F.lit(True).alias("__q_own"))
-    joined = df.join(g, F.col(lang).eqNullSafe(F.col("__q_gl")) & F.col(source).eqNullSafe(F.col("__q_gs")), "left")
-    own = F.col("__q_own").isNotNull()
-    return joined.withColumn("__q_key", F.when(own, F.concat(F.coalesce(F.concat(F.lit("+"), F.col(lang)), F.lit("-")), F.lit("\u0001"), F.coalesce(F.concat(F.lit("+"), F.col(source)), F.lit("-")))).otherwise(F.lit("pool"))).drop("__q_gl", "__q_gs", "__q_own")
+def _key(*parts) -> F.Column:
+    """A text that tells nulls from all other values."""
+    return F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("+"), p), F.lit("-")) for p in parts])
+
+
+def levels(sizes: DataFrame, min_group: int) -> DataFrame:
+    """From (lang, source, count): (lang, source, key, own) with the key of the rows that judge the group and whether these are its own."""
+    by_lang = Window.partitionBy("lang")
+    own, language = F.col("count") >= min_group, F.sum("count").over(by_lang) >= min_group
+    key = F.when(own, F.concat(F.lit("own "), _key(F.col("lang"), F.col("source")))).when(language, F.concat(F.lit("language "), _key(F.col("lang")))).otherwise("all")
+    return sizes.select("lang", "source", key.alias("key"), F.concat(F.lit("own "), _key(F.col("lang"), F.col("source"))).alias("own_key"), F.concat(F.lit("language "), _key(F.col("lang"))).alias("lang_key"))
+
+
+def _joined(df: DataFrame, groups: DataFrame, lang: str, source: str, column: str) -> DataFrame:
+    """``df`` with ``column`` of its group; null where the group has no row that passes the base rule."""
+    g = groups.select(F.col("lang").alias("__q_gl"), F.col("source").alias("__q_gs"), F.col(column).alias("__q_key"))
+    return df.join(g, F.col(lang).eqNullSafe(F.col("__q_gl")) & F.col(source).eqNullSafe(F.col("__q_gs")), "left").drop("__q_gl", "__q_gs")
 
 
 def fit(stats: DataFrame, space: Workspace, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
-    """(groups, estimates): groups that are large enough for themselves; per judged group its estimate and the scale of its distances."""
-    passed = stats.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *_features())
-    groups = space.keep(passed.groupBy(F.col("lang").alias("__q_lang"), F.col("source").alias("__q_source")).count().where(F.col("count") >= min_group), "groups")
+    """(groups, estimates): each group with the key of its estimate; per key the estimate and the scale of its distances."""
+    passed = stats.where(~base_failed()).select(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), *_features())
+    groups = levels(space.keep(passed.groupBy("lang", "source").count(), "sizes"), min_group)
+    # the estimates that a group's rows take part in: of the keys that any group is judged by
+    used = groups.select("key").distinct()
+    parts = groups.select("lang", "source", F.explode(F.array("own_key", "lang_key", F.lit("all"))).alias("key")).join(used, "key", "left_semi").groupBy("lang", "source").agg(F.collect_set("key").alias("keys"))
+    groups = space.keep(groups.select("lang", "source", "key").join(parts.withColumnsRenamed({"lang": "__q_gl", "source": "__q_gs"}), F.col("lang").eqNullSafe(F.col("__q_gl")) & F.col("source").eqNullSafe(F.col("__q_gs"))).drop("__q_gl", "__q_gs"), "groups")
     hint = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda df: df)
-    rows = _grouped(passed, hint(groups), "lang", "source").select("__q_key", *[f"__q_x{i}" for i in range(FEATURES)])
-    big = rows.groupBy("__q_key").count().where(F.col("count") >= min_group).drop("count")
-    rows = space.keep(rows.join(hint(big), "__q_key", "left_semi"), "rows")
+    rows = _joined(passed, hint(groups), "lang", "source", "keys").select(F.explode("__q_key").alias("__q_key"), *[f"__q_x{i}" for i in range(FEATURES)])
+    rows = space.keep(rows, "rows")
 
     sums = [F.sum("c").alias("n")] + [F.sum(f"s{i}").alias(f"s{i}") for i in range(FEATURES)] + [F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in PAIRS]
     part = [F.count(F.lit(1)).alias("c")] + [F.sum(f"__q_x{i}").alias(f"s{i}") for i in range(FEATURES)] + [F.sum(F.col(f"__q_x{i}") * F.col(f"__q_x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]
@@ -182,10 +197,10 @@ def fit(stats: DataFrame, space: Workspace, lang: str = "lang", source: str = "s
 
 
 def judged(stats: DataFrame, groups: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """``stats`` with ``__q_base_failed``, ``__q_distance`` (null without an estimate) and ``__q_kept``."""
+    """``stats`` with ``__q_base_failed``, ``__q_distance`` (null where no row of its group passes the base rule) and ``__q_kept``."""
     small = groups.count() <= BROADCAST_GROUPS
     hint = F.broadcast if small else (lambda df: df)
-    rows = _grouped(stats, hint(groups), lang, source).withColumns({f"__q_x{i}": x for i, x in enumerate(_features())})
+    rows = _joined(stats, hint(groups), lang, source, "key").withColumns({f"__q_x{i}": x for i, x in enumerate(_features())})
     rows = rows.join(hint(estimates), "__q_key", "left").withColumn("__q_distance", _distance() * F.col("scale")).withColumn("__q_base_failed", base_failed())
     kept = ~F.col("__q_base_failed") & (F.coalesce("__q_distance", F.lit(0.0)) <= cutoff)
     return rows.withColumn("__q_kept", kept).select(*stats.columns, "__q_base_failed", "__q_distance", "__q_kept")
@@ -194,6 +209,7 @@ def judged(stats: DataFrame, groups: DataFrame, estimates: DataFrame, lang: str
 def quality_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per document: doc_id, the five counts, base_failed, distance and kept."""
     space = Workspace(docs.sparkSession, "quality")
+    docs = docs.select(F.col(doc_id), F.col(text), F.col(lang), F.col(source))
     stats = space.keep(with_counts(docs, text, [doc_id, lang, source]), "stats")
     rows = judged(stats, *fit(stats, space, lang, source), lang, source)
     return rows.select(doc_id, *[F.col(f"__q_{c}").alias(c) for c in COUNTS], F.col("__q_base_failed").alias("base_failed"), F.col("__q_distance").alias("distance"), F.col("__q_kept").alias("kept"))
@@ -202,6 +218,10 @@ def quality_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept. The texts are counted twice rather than written or shuffled."""
     space = Workspace(docs.sparkSession, "quality")
+    own = docs.columns
+    # under names that no internal column has
+    docs = docs.select([F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(own)])
+    text, lang, source = (f"c{own.index(c)}" for c in (text, lang, source))
     stats = space.keep(with_counts(docs, text, [lang, source]), "stats")
     groups, estimates = fit(stats, space, lang, source)
-    return judged(with_counts(docs, text), groups, estimates, lang, source).where("__q_kept").select(*docs.columns)
+    return judged(with_counts(docs, text), groups, estimates, lang, source).where("__q_kept").select([F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
