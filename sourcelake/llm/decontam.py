@@ -6,16 +6,18 @@ alone is the necessary prefix. Documents are scanned for these prefix shingles;
 window would start (positional bound), windows that leave the document are dropped (length bound), and the
 rest are compared with the whole window. Words inside a confirmed window are hit.
 
-The windows of ``BLOCK_WINDOWS`` at a time are broadcast (about 100 bytes each); a larger benchmark is
-worked off in such blocks against all documents, whose hit ranges are then merged per document.
+The windows of ``BLOCK_WINDOWS`` at a time are broadcast (some hundred bytes each); a larger benchmark is worked off
+in such blocks, one after another against all documents. Each block's hits are written by the text's hash and its
+broadcasts given free, so executors hold one block; in the end the ranges are merged per text and joined.
 
 Defined cases: null or empty texts have no words; an item without words matches nothing; repeated rows each
 get a result; items with equal texts all count; null item_ids are left out; an empty benchmark or corpus
-gives no hits or no rows; other columns pass through ``clean_documents``, internal names begin with ``__d_``.
+gives no hits or no rows; other columns, whatever their names, pass through ``clean_documents``.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sourcelake.llm import scan
-from sourcelake.llm.shared import small_batches
+from sourcelake.llm.shared import Workspace, small_batches
 
 WINDOW, SHINGLE = 10, 3
 BLOCK_WINDOWS = 500_000
@@ -147,17 +149,18 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``BLOCK_WINDOWS`` windows (or one longer item), by item_id."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``most`` windows (or one longer item), by item_id."""
     block, held = [], 0
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("i", "t")
+    words = F.regexp_count(F.col("t"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    items = items.withColumn("n", F.greatest(words - (WINDOW - 1), F.least(words, F.lit(1)))).where("n > 0").orderBy("i", "t")
     for r in items.toLocalIterator():
-        n = r.t.count(" ") + 1
-        if block and held + n > BLOCK_WINDOWS:
+        if block and held + r.n > most:
             yield block
             block, held = [], 0
         block.append((r.i, r.t))
-        held += n
+        held += r.n
     yield block
 
 
@@ -165,41 +168,92 @@ EMPTY = {"__d_n_words": T.LongType(), "__d_ranges": T.ArrayType(T.StructType([T.
 _PA = {"__d_n_words": pa.int64(), "__d_ranges": pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), "__d_items": pa.list_(pa.int64())}
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _arrays(ranges: list, items: list) -> list[pa.Array]:
+    return [pa.array([[{"lo": a, "hi": b} for a, b in x] for x in ranges], _PA["__d_ranges"]), pa.array(items, _PA["__d_items"])]
+
+
+def _text_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each whole text."""
+    found = [(chunk.hashes(chunk.offsets[:-1], chunk.offsets[1:]), scan.Chunk(scan.LOWER[::-1][chunk.data], chunk.offsets, 0).hashes(chunk.offsets[:-1], chunk.offsets[1:])) for chunk in scan.chunks(column)]
+    return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64) for i in (0, 1))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``__d_n_words``, ``__d_ranges`` (merged hit ranges of words) and ``__d_items``."""
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     docs = docs.select(*[c for c in docs.columns if keep is None or c in {*keep, text}])
     names = [c for c in docs.columns if keep is None or c in keep]
-    blocks = []
-    for items in _blocks(benchmark, item_id, item_text):
-        block = Windows(items)
-        frequency = _frequencies(docs, text, sc.broadcast(block.all_shingles())) if block.words else {}
-        blocks.append(sc.broadcast((block, block.prefix(frequency))))
+    fields = T.StructType([docs.schema[c] for c in names] + [T.StructField(k, v) for k, v in EMPTY.items()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepared(items: list[tuple[int, str]]):
+        block = Windows(items)
+        shingles = sc.broadcast(block.all_shingles())
+        frequency = _frequencies(docs, text, shingles) if block.words else {}
+        shingles.unpersist()
+        return sc.broadcast((block, block.prefix(frequency)))
+
+    def scanner(one, by_text: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column(batch.schema.names.index(text))
+                n, ranges, items = np.zeros(len(batch), np.int64), [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
+                for row, words, hit, ids in find(column, *one.value):
+                    n[row], ranges[row], items[row] = words, hit, ids
+                if by_text:
+                    at = np.flatnonzero([bool(x) for x in items])
+                    a, b = _text_keys(column)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), *_arrays([ranges[i] for i in at], [items[i] for i in at])], ["a", "b", "__d_ranges", "__d_items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in names] + [pa.array(n), *_arrays(ranges, items)], [*names, *_PA])
+
+        return run
+
+    blocks = _blocks(benchmark, item_id, item_text, block_windows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(scanner(prepared(first), False), fields)
+
+    space, found, hits = Workspace(docs.sparkSession, "decontam"), None, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *fields.fields[-2:]])
+    for i, items in enumerate(itertools.chain((first, second), blocks)):
+        one = prepared(items)
+        # equal texts have equal hits
+        rows = docs.select(text).mapInArrow(scanner(one, True), hits).groupBy("a", "b").agg(F.first("__d_ranges").alias("__d_ranges"), F.first("__d_items").alias("__d_items"))
+        rows = space.keep(rows, f"block{i}")
+        found = rows if found is None else found.union(rows)
+        one.unpersist()
+    found = found.groupBy("a", "b").agg(F.flatten(F.collect_list("__d_ranges")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__d_items")))).alias("items"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.names.index(text))
-            n, ranges, items = np.zeros(len(batch), np.int64), [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
-            for one in blocks:
-                for row, words, hit, ids in find(column, *one.value):
-                    n[row] = words
-                    ranges[row] = merged(ranges[row] + hit) if ranges[row] else hit
-                    items[row] = sorted({*items[row], *ids})
-            made = [pa.array(n), pa.array([[{"lo": a, "hi": b} for a, b in x] for x in ranges], _PA["__d_ranges"]), pa.array(items, _PA["__d_items"])]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in names] + made, [*names, *_PA])
+            n = [np.diff(words_of(chunk.fold())[3]) for chunk in scan.chunks(column)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in names] + [pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64()), *map(pa.array, _text_keys(column))], [*names, "__d_n_words", "__d_a", "__d_b"])
+
+    keys = T.StructType([*fields.fields[:-2], T.StructField("__d_a", T.LongType()), T.StructField("__d_b", T.LongType())])
+    rows = docs.mapInArrow(keyed, keys).join(found, (F.col("__d_a") == F.col("a")) & (F.col("__d_b") == F.col("b")), "left")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = [merged([(x["lo"], x["hi"]) for x in r or []]) for r in batch.column(batch.schema.names.index("r")).to_pylist()]
+            items = [x or [] for x in batch.column(batch.schema.names.index("items")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in [*names, "__d_n_words"]] + _arrays(ranges, items), [*names, *_PA])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in names] + [T.StructField(k, v) for k, v in EMPTY.items()]))
+    return rows.drop("__d_a", "__d_b", "a", "b").mapInArrow(joined, fields)
 
 
-def decontam_table(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def decontam_table(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    rows = with_hits(docs, benchmark, text, keep=[doc_id])
+    rows = with_hits(docs.select(F.col(doc_id), F.col(text)), benchmark, text, keep=[doc_id], block_windows=block_windows)
     hit = F.aggregate("__d_ranges", F.lit(0).cast("long"), lambda a, r: a + r.hi - r.lo)
     ids = F.array_join(F.array_sort(F.transform("__d_items", lambda i: i.cast("string"))), ",")
     return rows.select(doc_id, F.col("__d_n_words").alias("n_words"), hit.alias("n_hit"), F.size("__d_items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without hits."""
-    return with_hits(docs, benchmark, text).where(F.size("__d_items") == 0).select(*docs.columns)
+    own = docs.columns
+    # under names that no internal column has
+    plain = docs.select([F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(own)])
+    rows = with_hits(plain, benchmark, f"c{own.index(text)}", block_windows=block_windows).where(F.size("__d_items") == 0)
+    return rows.select([F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
