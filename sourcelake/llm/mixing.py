@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from sourcelake.llm.shared import Workspace
+from sourcelake.llm.shared import Workspace, fresh
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 #: Largest table of sources that is broadcast; beyond it the sources are joined by a shuffle.
@@ -84,26 +84,33 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, se
     return narrow, space.keep(sources, "plan")
 
 
-def _times(hinted: DataFrame, rows: DataFrame, source: str, place) -> DataFrame:
-    rows = rows.withColumn("__mix_place", place)
-    joined = rows.join(hinted.select([F.col(c).alias(f"__mix_{c}") for c in hinted.columns]), F.col(source).eqNullSafe(F.col("__mix_source")))
-    return joined.withColumn("__mix_times", F.col("__mix_whole") + (F.col("__mix_place") <= F.col("__mix_last")).cast("long"))
+def _times(hinted: DataFrame, rows: DataFrame, source: str, place, names: dict[str, str]) -> DataFrame:
+    rows = rows.withColumn(names["place"], place)
+    joined = rows.join(hinted.select([F.col(c).alias(names[c]) for c in hinted.columns]), F.col(source).eqNullSafe(F.col(names["source"])))
+    return joined.withColumn(names["times"], F.col(names["whole"]) + (F.col(names["place"]) <= F.col(names["last"])).cast("long"))
+
+
+def _names(columns: list[str]) -> dict[str, str]:
+    own = ["source", "source_size", "target", "whole", "last", "place", "times", "copy"]
+    return dict(zip(own, fresh(columns, *[f"__mix_{c}" for c in own])))
 
 
 def mix_table(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, times (repetitions in the mix) and taken (words)."""
     narrow, sources = plan(docs, **options)
     hinted = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
-    rows = _times(hinted, narrow, "source", F.col("place"))
-    return rows.select("doc_id", "source", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_times").alias("times"), (F.col("size") * F.col("__mix_times")).alias("taken"))
+    names = _names(narrow.columns)
+    rows = _times(hinted, narrow, "source", F.col("place"), names)
+    return rows.select("doc_id", "source", "size", F.col(names["source_size"]).alias("source_size"), F.col(names["target"]).alias("target"), F.col(names["times"]).alias("times"), (F.col("size") * F.col(names["times"])).alias("taken"))
 
 
 def mix_rows(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
     _, sources = plan(docs, seed=seed, doc_id=doc_id, source=source, **options)
     hinted = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
-    rows = _times(hinted, docs, source, order_key(doc_id, seed))
-    return rows.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mix_times").cast("int")))).select(*docs.columns)
+    names = _names(docs.columns)
+    rows = _times(hinted, docs, source, order_key(doc_id, seed), names)
+    return rows.withColumn(names["copy"], F.explode(F.array_repeat(F.lit(0), F.col(names["times"]).cast("int")))).select(*docs.columns)
 
 
 ORACLE = """
