@@ -11,9 +11,9 @@ Each id takes ``width`` bits, the least that hold the vocabulary, little end fir
 starts at a byte of its own, so any range of ids is read from its blocks alone.
 
 Tokenising: a text is cut at ASCII white space and between ASCII letters or digits and ASCII punctuation
-other than the apostrophe; the tokenizer's own splitter cuts there too, so the ids of a text are those of its
-pieces in a row. Each worker keeps the ids of pieces that it has met. Texts that contain ``<|`` go to the
-tokenizer whole.
+other than the apostrophe, if a trial text shows that the tokenizer gives the ids of the lower-cased pieces in a row;
+each worker keeps the ids of pieces that it has met. Texts that contain ``<|``, and all texts for a tokenizer
+that fails the trial, go to the tokenizer whole.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; rows that repeat a doc_id
 are ordered by text and each have their entry; an empty table writes no image; other columns are ignored.
@@ -36,6 +36,8 @@ MAGIC, VERSION, BLOCK = b"SLTK", 1, 4096
 SHARD_TOKENS = 1 << 20
 #: Pieces whose ids a worker keeps before it starts anew: about 40 bytes each.
 KEPT_PIECES = 400_000
+#: Characters of a text that help to place the ranges of documents.
+RANGE_CHARS = 32
 
 
 def bits(vocabulary: int) -> int:
@@ -101,6 +103,10 @@ _punct = np.zeros(256, bool)
 _punct[[c for c in range(33, 127) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c == 39)]] = True
 
 
+TRIAL = "The  Quick\tbrown fox, it's (12.50) a-b_c\nÉtudes \u0301x x\u00a0y! don't 'quoted' AbC12d e.g. [INST]"
+TRIAL_PIECES = "the quick brown fox , it's ( 12 . 50 ) a - b _ c Études \u0301x x\u00a0y ! don't 'quoted' abc12d e . g . [ inst ]".split(" ")
+
+
 class Encoder:
     """Encodes columns of texts with a tokenizer file, keeping the ids of pieces between batches."""
 
@@ -112,6 +118,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: Whether texts may be encoded by pieces.
+        self.by_pieces = plain(TRIAL) == [x for p in TRIAL_PIECES for x in plain(p)]
         self._empty()
 
     def _empty(self) -> None:
@@ -179,6 +188,10 @@ class Encoder:
 def encode_column(encoder: Encoder, column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     import pyarrow.compute as pc
 
+    if not encoder.by_pieces:
+        for row, text in enumerate(column):
+            yield row, np.array(encoder.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids, np.uint32)
+        return
     special = set(np.flatnonzero(pc.fill_null(pc.match_substring(column, "<|"), False).to_numpy(zero_copy_only=False)).tolist()) if len(column) else set()
     for row, ids in encoder.encode(column):
         yield row, np.array(encoder.tokenizer.encode(column[row].as_py(), add_special_tokens=False).ids, np.uint32) if row in special else ids
@@ -197,8 +210,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: s
     """Writes the images of all documents to ``path``, a folder of Parquet files with (part, shard, n_docs, n_tokens, image)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # ranges of doc_id; texts are in the key so that a repeated doc_id has a defined order
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # ranges of doc_id and, for a doc_id that very many rows repeat, of the beginnings of their texts; the whole texts order the rows of a range
+    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS).asc_nulls_first()).withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
