@@ -88,6 +88,28 @@ def test_tokens(spark, odd, docs, none):
     assert tokens.token_table(none, entry.tokenizer_path()).count() == 0
 
 
+def test_tokens_of_other_tokenizers(spark, odd, tmp_path):
+    """A splitter that keeps spaces and cases is not cut into pieces; exported files hold the images."""
+    import os
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    table = spark.createDataFrame([(i % 2, f"One  two, {i}") for i in range(9)], "doc_id long, text string")
+    got = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in tokens.token_table(table, path).collect()}
+    start = 0
+    for doc, text in sorted((r.doc_id, r.text) for r in table.collect()):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert got[doc, start] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    tokens.write(table, str(tmp_path / "ids"), path)
+    told = tokens.export(spark, str(tmp_path / "ids"), f"file://{tmp_path}/files").collect()
+    assert sorted(os.listdir(tmp_path / "files")) == sorted(r.name.rpartition("/")[2] for r in told)
+    assert sum(tokens.Image((tmp_path / "files" / name).read_bytes()).n_tokens for name in os.listdir(tmp_path / "files")) == start
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(digits[::-1])) % 10 == 0
 
@@ -203,6 +225,9 @@ def test_jaccard(spark, odd, docs, none):
         assert all(r.component_id == want.get(r.doc_id) for r in got)
         size = Counter((i, len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if (w := words(t)) else 0) for i, t in source)
         assert Counter((r.doc_id, r.n_shingles) for r in got) == size
+    # all share four shingles of which the frequent one is in every prefix, and none are similar
+    hot = spark.createDataFrame([(i, f"a b c d e f g x{i}") for i in range(3000)] + [(3000, "a b c d e f g"), (3001, "A b c d e f g")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.similarity_table(hot).collect()} == {i: i for i in range(3000)} | {3000: 0, 3001: 0} | {i: 0 for i in range(3000)}
     kept = jaccard.deduplicate(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 7, 9, 11]  # 12 shares 16 of 21 shingles with 4
     assert jaccard.similarity_table(none).count() == 0
@@ -227,6 +252,7 @@ def test_decontamination(spark, odd, docs, none):
                         found |= windows[k]
             want.append((r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
         assert sorted(map(tuple, decontam.decontam_table(table, items).collect()), key=repr) == sorted(want, key=repr)
+        assert sorted(map(tuple, decontam.decontam_table(table, items, block_windows=400).collect()), key=repr) == sorted(want, key=repr)
     assert decontam.decontam_table(none, items).count() == 0
     assert decontam.clean_documents(odd, items.limit(0)).count() == odd.count()
 
@@ -252,6 +278,66 @@ def test_quality(spark, odd, docs, none):
     assert quality.quality_table(none).count() == 0 and quality.filter_documents(odd).columns == odd.columns
 
 
+def robust(rows):
+    """Squared distances of the rows of five counts that judge themselves: both starts, concentration steps and the scale, in numpy."""
+    n = np.maximum(rows[:, 0], 1).astype(float)
+    x = np.round(1000 * np.stack([np.log(n), np.log(np.maximum(rows[:, 1], 1) / n), *(np.log1p(100 * rows[:, i] / n) for i in (2, 3, 4))], 1)) / 1000
+    floor = np.square(quality.FLOOR)
+
+    def distance(mean, cov):
+        return np.maximum(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), 0)
+
+    def quantile(values, q):
+        values = np.sort(values)
+        return values[int(np.ceil(q * len(values))) - 1]
+
+    cells = np.floor(x * 1000 / 20)
+    spread = [((quantile(c, 0.75) - quantile(c, 0.25)) * 0.02 / 1.349) ** 2 for c in cells.T]
+    starts = [(x.mean(0), np.cov(x.T, bias=True) + np.diag(floor)), (np.array([quantile(c, 0.5) * 0.02 + 0.01 for c in cells.T]), np.diag(spread + floor))]
+    found = []
+    for mean, cov in starts:
+        for _ in range(quality.STEPS):
+            bins = np.minimum(quality.BINS, np.floor(np.log1p(distance(mean, cov)) * 40))
+            near = x[[(bins < b).sum() < quality.KEEP_SHARE * len(x) for b in bins]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floor)
+        found.append((round(np.linalg.slogdet(cov)[1], 6), len(found), mean, cov))
+    _, _, mean, cov = min(found, key=lambda f: f[:2])
+    half = quantile(np.minimum(quality.BINS, np.floor(np.log1p(distance(mean, cov)) * 40)), 0.5)
+    return distance(mean, cov) * 4.351 / max(np.expm1((half + 1) / 40), 4.351)
+
+
+def test_quality_verdicts_equal_numpy(spark):
+    """Own groups, a language for small groups and all rows for small languages."""
+    rng = np.random.default_rng(4)
+    sizes = {("en", "a"): 260, ("en", "b"): 30, ("de", "a"): 150, ("de", None): 90, (None, "a"): 12, ("fr", "a"): 9}
+    docs = []
+    for (lang, source), n in sizes.items():
+        for k in range(n):
+            junk = "*** &&& " if k % 15 == 7 else ""
+            docs.append((len(docs), " ".join(junk + f"{lang}{rng.integers(999)}" for _ in range(int(rng.integers(25, 400)))), lang, source))
+    got = {r.doc_id: r for r in quality.quality_table(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    count = np.array([[got[d[0]][c] for c in quality.COUNTS] for d in docs])
+    judges = {("en", "a"): lambda d: d[2:] == ("en", "a"), ("en", "b"): lambda d: d[2] == "en", ("de", "a"): lambda d: d[2] == "de", ("de", None): lambda d: d[2] == "de"}
+    for group in sizes:
+        used = [i for i, d in enumerate(docs) if judges.get(group, lambda d: True)(d)]
+        for i, want in zip(used, robust(count[used])):
+            if docs[i][2:] == group:
+                assert math.isclose(got[i].distance, want, rel_tol=1e-6, abs_tol=1e-9)
+                assert got[i].kept == (want <= quality.CUTOFF)
+    assert not any(r.kept for i, r in got.items() if "*" in docs[i][1]) and all(r.kept for i, r in got.items() if "*" not in docs[i][1])
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    """Names that operators use inside, in documents."""
+    text = " ".join(f"word{i}" for i in range(40))
+    names = ["__q_n_words", "__q_key", "__d_items", "__d_n_words", "__mix_place", "__mix_times", "c0", "key", "count", "a"]
+    table = spark.createDataFrame([(1, text, "en", "s", *names), (2, text + " other", None, None, *names)], f"doc_id long, text string, lang string, source string, {', '.join(f'{c} string' for c in names)}")
+    items = spark.createDataFrame([(1, "nothing of these")], "item_id long, text string")
+    for got in (quality.filter_documents(table), decontam.clean_documents(table, items), mixing.mix_rows(table), jaccard.deduplicate(table)):
+        assert got.columns == table.columns
+        assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in table.collect()} and got.count()
+
+
 def test_quality_outliers(spark):
     rng = np.random.default_rng(1)
     clean = [(i, " ".join(f"word{rng.integers(999)}" for _ in range(int(rng.integers(30, 900)))), "en", "s") for i in range(600)]
