@@ -141,6 +141,47 @@ def test_pii_cards_without_three_digits_in_a_row(spark):
     assert got == {0: (1, "card:0:23"), 1: (1, "card:4:35"), 2: (int(luhn("411111111112")), "card:0:17" if luhn("411111111112") else ""), 3: (0, "")}
 
 
+def test_pii_spans_equal_brute_force(spark):
+    """Looser forms with good and bad contents in good and bad contexts; every span decided anew in Python."""
+    rng = np.random.default_rng(2)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        d = "4" + digits(14)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    docs, planted = [], {}
+    for i in range(400):
+        c, fail = card(), str(rng.integers(1000, 9999)) + digits(12)
+        parts = ["pay by card " + ".".join(c[k : k + 4] for k in range(0, 16, 4)), f"mail ann{i}[at]ex{i}[dot]com", f"host 10[.]{i % 250}[.]3[.]{i % 200}", f"call 212-5{digits(2)}-{digits(4)}", "order " + "/".join(fail[k : k + 4] for k in range(0, 16, 4)), f"+1 (98{i % 10}) 555-{digits(4)} a{i}@b.cd", f"ref 1{digits(2)}-0{digits(2)}-{digits(4)}"]
+        text = f"text {i} " + " ; ".join(parts[k] for k in rng.permutation(len(parts)))
+        planted[i] = [(text.index(p) + p.rindex(" ") + 1, k, text.index(p) + len(p)) for p, k in ((parts[0], 2), (parts[1], 0), (parts[2], 1), (parts[3], 3))]
+        docs.append((i, text))
+    docs.append((400, "card 4111.1111.1111.1111 and 4111 1111 1111 1111 4111.1111.1111.1111.1"))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = pii.candidates(table).select("doc_id", "__p_candidates").cache()
+    model = pii.fit(found)
+    got = {r.doc_id: r.spans for r in pii.pii_table(table).collect()}
+    for r in found.collect():
+        c = r["__p_candidates"]
+        base = [(x.start, x.kind, x.end) for x in c if x.base]
+        score = {}
+        for x in c:
+            s = model.score(tuple(x[f] for f in pii.FEATURES))
+            if not x.base and x.kind in model.thresholds and s >= model.thresholds[x.kind] - 1e-9:
+                score[x.start, x.kind, x.end] = round(s, 9)
+        meets = lambda x, y: x[0] < y[2] and y[0] < x[2]
+        more = [x for x in score if not any(meets(x, y) for y in base) and not any(meets(x, y) and (-score[y], y[0], -y[2], y[1]) < (-score[x], x[0], -x[2], x[1]) for y in score)]
+        assert got[r.doc_id] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+    told = {i: {tuple(x.split(":")) for x in t.split(",")} for i, t in got.items()}
+    caught = [(pii.KINDS[k], str(a), str(b)) in told[i] for i, ps in planted.items() for a, k, b in ps]
+    assert sum(caught) > 0.9 * len(caught)
+    assert sum("order " in t and f"card:{t.index('order ') + 6}" in got[i] for i, t in docs) < 20
+    long = spark.createDataFrame([(0, " ".join(f"10.1.{i % 256}.7 a +1 (988) 555-{i % 10000:04d} b" for i in range(20_000)))], "doc_id long, text string")
+    r = pii.pii_table(long).first()
+    assert (r.n_ip, r.n_phone) == (20_000, 20_000) and r.spans.count(",") == 39_999
+
+
 def test_lm(spark, odd, docs, none):
     for table in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
         source = [(r.doc_id, [*words(r.text), None]) for r in table.collect()]
