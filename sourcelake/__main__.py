@@ -35,6 +35,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     a = verbs.add_parser("analyze", parents=[shared, scan])
     a.add_argument("--format", choices=["json", "human"], default="json")
     a.add_argument("--history-manifest")
+    a.add_argument("--advanced", action="store_true")
     i = verbs.add_parser("index", parents=[shared, scan])
     i.add_argument("--format", choices=["jsonl", "json", "events-jsonl"], default="jsonl")
     i.add_argument("--max-chunk-bytes", type=int, default=16 << 10)
@@ -134,6 +135,8 @@ class Run:
             head["hotspots"] = list(rows_of(analysis.hotspots(code, table).orderBy(F.desc("product"), "relative_path"))) if history["complete"] else []
             if not history["complete"]:
                 head["status"] = "partial"
+        if self.args.advanced:
+            head["advanced"] = plan.advanced(self.scan)
         duplicates = analysis.duplicate_members(files).orderBy("first_path", "relative_path")
         self.write(reports.json_array(head, "duplicates", rows_of(duplicates), {}))
 
@@ -180,7 +183,7 @@ class Run:
             self.write(reports.sarif(shown, unsure, {"findings_by_severity": counts}))
         else:
             ordered = rows_of(shown.orderBy(*reports.FINDING_ORDER))
-            tail = {"signals": list(rows_of(plan.signals(self.scan, shown.select("rule_id", "severity", "relative_path", "line")).orderBy("kind", "relative_path", "line"))), "coverage": domains, "truncated": unsure} if a.format == "json" else {}
+            tail = {"signals": list(rows_of(plan.signals(self.scan, shown.select("rule_id", "severity", "relative_path", "line"), code).orderBy("kind", "relative_path", "line"))), "coverage": domains, "truncated": unsure} if a.format == "json" else {}
             head = {"version": __version__, "repository_id": a.repo_id, "commit_sha": self.scan.state.commit_sha, "findings_by_severity": {s: counts.get(s, 0) for s in SEVERITIES}}
             self.write((json.dumps(r, ensure_ascii=False) + "\n" for r in ordered) if a.format == "jsonl" else reports.json_array(head, "findings", ordered, tail))
         if unsure and (a.fail_on or a.require_complete):

@@ -1,17 +1,20 @@
-"""Structure of sources: Python by its syntax tree, other languages by their tokens, as one nested record per file."""
+"""Structure of sources: Python by its syntax tree, JavaScript and TypeScript by descent, other languages by their tokens, as one nested record per file."""
 
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-MAX_HOPS, MAX_BYTES = 8, 8 << 20
+from sourcelake.functions.script import parse_script
+
+MAX_HOPS, MAX_BYTES, MAX_INSPECTED = 8, 8 << 20, 1024
 SUBPROCESS = {"run", "call", "Popen", "check_call", "check_output"}
 PARSED = (
-    "struct<status:string,symbols:array<struct<kind:string,name:string,qualified_name:string,start_line:long,end_line:long>>,calls:array<struct<callee:string,line:long,shell:boolean>>,"
+    "struct<status:string,symbols:array<struct<kind:string,name:string,qualified_name:string,start_line:long,end_line:long>>,calls:array<struct<callee:string,line:long,column:long,shell:boolean,options:array<struct<name:string,value:boolean,argument:int>>>>,"
     "imports:array<struct<module:string,imported_name:string,local_name:string>>,dependencies:array<struct<syntax:string,module:string,line:long>>,functions:long,branch_points:long,max_nesting:long,flows:array<struct<kind:string,source_line:long,sink_line:long,hops:long>>,flow_status:string>"
 )
 
@@ -28,8 +31,13 @@ def _callee(node: ast.AST) -> str:
     return "<dynamic>"
 
 
+def _boolean(node: ast.AST) -> bool | None:
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, bool) else None
+
+
 class _Python(ast.NodeVisitor):
-    def __init__(self) -> None:
+    def __init__(self, lines: list[str]) -> None:
+        self.lines = lines
         self.out = _empty("complete")
         self.out |= {"functions": 0, "branch_points": 0, "max_nesting": 0}
         self.scope: list[tuple[str, str]] = []
@@ -84,13 +92,23 @@ class _Python(ast.NodeVisitor):
 
     def visit_Call(self, node: ast.Call) -> None:
         name = _callee(node.func)
-        shell = [k.value.value for k in node.keywords if k.arg == "shell" and isinstance(k.value, ast.Constant) and isinstance(k.value.value, bool)]
-        self.out["calls"].append({"callee": name, "line": node.lineno, "shell": shell[0] if len(shell) == 1 else None})
+        values: dict[str, bool | None] = {}
+        for k in node.keywords:
+            if k.arg is not None:  # a keyword that stands twice is an error of the source, not an override
+                values[k.arg] = None if k.arg in values else _boolean(k.value)
+        # offsets of the tree count bytes
+        column = len(self.lines[node.lineno - 1].encode()[: node.col_offset].decode("utf-8", "replace")) + 1 if node.lineno <= len(self.lines) else 1
+        options = [{"name": k, "value": v, "argument": None} for k, v in values.items() if v is not None]
+        self.out["calls"].append({"callee": name, "line": node.lineno, "column": column, "shell": values.get("shell"), "options": options})
         if name in ("__import__", "importlib.import_module"):
             self.out["dependencies"].append({"syntax": "dynamic", "module": None, "line": node.lineno})
         self.generic_visit(node)
 
 
+class _Unmodelled(Exception):
+    """The way of a value cannot be followed."""
+
+
 def _hops(node: ast.AST, taint: dict[str, tuple[int, int]]) -> tuple[int, int] | None:
     """(hops, line of the source) of the least tainted way into an expression."""
     if isinstance(node, ast.Name):
@@ -98,13 +116,36 @@ def _hops(node: ast.AST, taint: dict[str, tuple[int, int]]) -> tuple[int, int] |
     if isinstance(node, ast.BinOp):
         return min(filter(None, (_hops(node.left, taint), _hops(node.right, taint))), default=None)
     if isinstance(node, ast.Call):
-        best = min(filter(None, (_hops(a, taint) for a in node.args)), default=None)
+        best = min(filter(None, (_hops(a, taint) for a in [*node.args, *(k.value for k in node.keywords)])), default=None)
         return (best[0] + 1, best[1]) if best else None
+    # anything else is followed no further, and counts only if a tainted name is in it
+    if any(isinstance(n, ast.Name) and n.id in taint for n in ast.walk(node)):
+        raise _Unmodelled
     return None
 
 
+def _sinks(tree: ast.Module) -> dict[str, str]:
+    """What local names of imported modules and functions stand for."""
+    out = {}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Import):
+            out |= {a.asname: a.name for a in n.names if a.asname}
+        elif isinstance(n, ast.ImportFrom) and not n.level:
+            out |= {a.asname or a.name: f"{n.module}.{a.name}" for a in n.names}
+    return out
+
+
 def _flows(tree: ast.Module, out: dict) -> None:
-    status, flows = "complete", set()
+    status, flows, known = "complete", set(), _sinks(tree)
+
+    def sink(call: ast.Call) -> str | None:
+        head, dot, rest = _callee(call.func).partition(".")
+        callee = known.get(head, head) + dot + rest
+        if callee in ("eval", "exec", "builtins.eval", "builtins.exec"):
+            return "dynamic_evaluation"
+        shell = [_boolean(k.value) for k in call.keywords if k.arg == "shell"]
+        return "process_execution" if shell == [True] and callee.split(".")[0] == "subprocess" and callee.split(".")[-1] in SUBPROCESS else None
+
     for fn in [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]:
         taint = {a.arg: (0, fn.lineno) for a in [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs] if a.arg not in ("self", "cls")}
         for s in fn.body:
@@ -117,17 +158,25 @@ def _flows(tree: ast.Module, out: dict) -> None:
             else:
                 status = "partial"  # control flow ends the straight line
                 break
-            for call in [n for n in ast.walk(value) if isinstance(n, ast.Call)] if value is not None else []:
-                callee = _callee(call.func)
-                shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in call.keywords)
-                kind = "dynamic_evaluation" if callee in ("eval", "exec", "builtins.eval", "builtins.exec") else "process_execution" if shell and callee.split(".")[0] == "subprocess" and callee.split(".")[-1] in SUBPROCESS else None
-                found = _hops(call.args[0], taint) if kind and call.args else None
+            inspected = list(ast.walk(value)) if value is not None else []
+            if len(inspected) > MAX_INSPECTED:
+                status = "partial"
+                inspected = inspected[:MAX_INSPECTED]
+            for call in [n for n in inspected if isinstance(n, ast.Call)]:
+                kind = sink(call)
+                try:
+                    found = _hops(call.args[0], taint) if kind and call.args else None
+                except _Unmodelled:
+                    status, found = "partial", None
                 if found and found[0] <= MAX_HOPS:
                     flows.add((call.lineno, found[1], found[0], kind))
                 elif found:
                     status = "partial"
             if name is not None:
-                found = _hops(value, taint)
+                try:
+                    found = _hops(value, taint)
+                except _Unmodelled:
+                    status, found = "partial", None
                 taint.pop(name, None)
                 if found:
                     taint[name] = (found[0] + 1, found[1])
@@ -140,54 +189,81 @@ def parse_python(source: str) -> dict:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return _empty("partial")
-    v = _Python()
+    v = _Python(re.split(r"\r\n|\r|\n", source))
     v.visit(tree)
     _flows(tree, v.out)
     v.out["symbols"].sort(key=lambda s: (s["start_line"], -s["end_line"], s["qualified_name"]))
     return v.out
 
 
-#: Per language: comments and strings to blank out, symbols by kind, branch words, imports.
+#: Per language: comments and strings to blank out, symbols by kind, branch words.
 _BLANK = {
     "shell": re.compile(r"(?m)(?<![\w$])#.*$|\"(?:\\.|[^\"\\])*\"|'[^']*'"),
-    None: re.compile(r"//[^\n]*|/\*(?s:.*?)\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"),
+    # a quote that closes behind one character is a literal, any other one a lifetime
+    "rust": re.compile(r"//[^\n]*|/\*(?s:.*?)\*/|r(#*)\"(?s:.*?)\"\1|\"(?:\\(?s:.)|[^\"\\])*\"|'(?:\\(?:u\{[^}']*\}|x..|.)|[^'\\\n])'"),
+    "php": re.compile(r"//[^\n]*|\#(?!\[)[^\n]*|/\*(?s:.*?)\*/|\"(?:\\(?s:.)|[^\"\\])*\"|'(?:\\(?s:.)|[^'\\])*'"),
 }
 _SYMBOLS = {
-    "javascript": [("class", r"\bclass\s+(\w+)"), ("function", r"\bfunction\s*\*?\s+(\w+)"), ("function", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>")],
-    "php": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("function", r"\bfunction\s+&?(\w+)"), ("constant", r"\bconst\s+(\w+)\s*=")],
-    "rust": [("class", r"\b(?:struct|enum)\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("function", r"\bfn\s+(\w+)"), ("module", r"\bmod\s+(\w+)")],
-    "shell": [("function", r"(?m)^\s*(?:function\s+)?([\w-]+)\s*\(\)\s*\{"), ("function", r"(?m)^\s*function\s+([\w-]+)\s*\{")],
+    "php": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("function", r"\bfunction\s+&?(\w+)"), ("constant", r"\bconst\s+(?:\w+\s+)?(\w+)\s*=")],
+    "rust": [("class", r"\b(?:struct|enum)\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("function", r"\bfn\s+(\w+)"), ("module", r"\bmod\s+(\w+)"), ("impl", r"\bimpl\b(?:\s*<[^{;]*?>)?\s+(?:[^{;]*?\bfor\s+)?(\w+)")],
+    "shell": [("function", r"(?m)^[ \t]*(?:function\s+)?([\w-]+)\s*\(\)\s*\{"), ("function", r"(?m)^[ \t]*function\s+([\w-]+)\s*\{")],
+}
+_BRANCHES = {
+    "php": r"\b(?:if|elseif|for|foreach|do|case|catch)\b|(?<!\})\s*\bwhile\b|\?(?![>?:-])",
+    "rust": r"\b(?:if|for(?!\s*<)|while|loop)\b|=>",
+    "shell": r"\b(?:if|elif|for|while)\b|(?m:^[ \t]*[^()\s]+\)(?!\)))",
 }
-_SYMBOLS["typescript"] = [*_SYMBOLS["javascript"], ("interface", r"\binterface\s+(\w+)")]
-_BRANCHES = {"javascript": r"\b(?:if|for|while|do|case|catch)\b|\?(?![.?:])", "php": r"\b(?:if|elseif|for|foreach|while|do|case|catch)\b|\?(?![>?:-])", "rust": r"\b(?:if|for|while|loop|match)\b", "shell": r"\b(?:if|elif|for|while|until|case)\b"}
-_BRANCHES["typescript"] = _BRANCHES["javascript"]
-_IMPORTS = {"javascript": r"(?m)^\s*(?:import|export)\b[^;'\"\n]*?from\s*[\"']([^\"']+)[\"']|^\s*import\s*[\"']([^\"']+)[\"']|\brequire\(\s*[\"']([^\"']+)[\"']\s*\)"}
-_IMPORTS["typescript"] = _IMPORTS["javascript"]
 _WORDS = {"if", "for", "while", "switch", "catch", "function", "return", "match", "foreach", "elseif", "require", "array", "isset", "fn"}
+#: Kinds that hold other symbols, and those whose functions are methods.
+_SCOPES, _OWNERS = {"class", "interface", "trait", "module", "impl", "function", "method", "constructor"}, {"class", "interface", "trait", "impl"}
+
+
+def _braces(code: str) -> tuple[dict[int, int], int, bool]:
+    """Where each opening brace closes, the greatest depth, and whether all of them match."""
+    pairs, open_, top, whole = {}, [], 0, True
+    for m in re.finditer(r"[{}]", code):
+        if m[0] == "{":
+            open_.append(m.start())
+            top = max(top, len(open_))
+        elif open_:
+            pairs[open_.pop()] = m.start()
+        else:
+            whole = False
+    return pairs, top, whole and not open_
 
 
 def parse_tokens(language: str, source: str) -> dict:
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    code = _BLANK.get(language, _BLANK[None]).sub(blank, source)
-    out = _empty("complete")
-    line = lambda i: source.count("\n", 0, i) + 1
+    code = _BLANK[language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    newlines = [m.start() for m in re.finditer("\n", source)]
+    line = lambda i: bisect.bisect_left(newlines, i) + 1
+    pairs, top, whole = _braces(code)
+    out = _empty("complete" if whole or language == "shell" else "partial")
+    found = []
     for kind, pattern in _SYMBOLS[language]:
         for m in re.finditer(pattern, code):
-            out["symbols"].append({"kind": kind, "name": m[1], "qualified_name": m[1], "start_line": line(m.start(1)), "end_line": line(m.start(1))})
+            brace, stop = code.find("{", m.end() - (code[m.end() - 1] == "{")), code.find(";", m.end())
+            body = brace if brace >= 0 and not 0 <= stop < brace and kind != "constant" else None
+            found.append((m.start(), pairs.get(body, len(code) - 1) if body is not None else stop if stop >= 0 else m.end(), kind, m[1]))
+    namespace = re.search(r"\bnamespace\s+([\w\\]+)\s*;", code) if language == "php" else None
+    scope: list[tuple[int, int, str, str]] = []
+    for item in sorted(set(found)):
+        start, end, kind, name = item
+        scope = [x for x in scope if x[1] > start]
+        owner = scope[-1][2] if scope else None
+        if kind == "function" and owner in _OWNERS:
+            kind = "constructor" if name == "__construct" else "method"
+        if kind != "impl":
+            names = ([namespace[1]] if namespace else []) + [x[3] for x in scope] + [name]
+            out["symbols"].append({"kind": kind, "name": name, "qualified_name": ".".join(names), "start_line": line(start), "end_line": line(end)})
+        if kind in _SCOPES:
+            scope.append((start, end, kind, name))
     if language != "shell":
         for m in re.finditer(r"(?<![\w$])(?:new\s+)?([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)\s*!?\(", code):
-            if m[1] not in _WORDS and not re.search(r"\b(?:function|fn)\s+$", code[max(0, m.start() - 12) : m.start()]):
-                out["calls"].append({"callee": m[1], "line": line(m.start()), "shell": None})
-    comments = re.compile(r"//[^\n]*|/\*(?s:.*?)\*/").sub(blank, source)
-    for m in re.finditer(_IMPORTS[language], comments) if language in _IMPORTS else []:
-        module = next(g for g in m.groups() if g)
-        out["imports"].append({"module": module, "imported_name": None, "local_name": module})
-        out["dependencies"].append({"syntax": "static", "module": module, "line": line(m.start())})
-    depth = top = 0
-    for m in re.finditer(r"[{}]", code):
-        depth = depth + 1 if m[0] == "{" else max(0, depth - 1)
-        top = max(top, depth)
-    out |= {"functions": sum(s["kind"] == "function" for s in out["symbols"]), "branch_points": len(re.findall(_BRANCHES[language], code)), "max_nesting": top, "flow_status": "unsupported"}
+            if m[1] not in _WORDS and not re.search(r"\b(?:function\s+&?|fn\s+)$", code[max(0, m.start() - 12) : m.start()]):
+                before = code.rfind("\n", 0, m.start()) + 1
+                out["calls"].append({"callee": m[1].lstrip("\\").replace("->", "."), "line": line(m.start()), "column": m.start() - before + 1, "shell": None, "options": []})
+    functions = sum(s["kind"] in ("function", "method", "constructor") for s in out["symbols"])
+    out |= {"functions": functions, "branch_points": len(re.findall(_BRANCHES[language], code)), "max_nesting": top, "flow_status": "unsupported"}
     out["symbols"].sort(key=lambda s: (s["start_line"], -s["end_line"], s["qualified_name"]))
     return out
 
@@ -195,10 +271,12 @@ def parse_tokens(language: str, source: str) -> dict:
 def parse(language: str, source: str | None) -> dict:
     """The record of one file: unsupported languages and files over the limit have none of its counts."""
     source = source or ""
-    if len(source) > MAX_BYTES:
+    if len(source) > MAX_BYTES or (4 * len(source) > MAX_BYTES and len(source.encode("utf-8", "surrogatepass")) > MAX_BYTES):
         return _empty("partial")
     if language == "python":
         return parse_python(source)
+    if language in ("javascript", "typescript"):
+        return parse_script(source, language == "typescript")
     return parse_tokens(language, source) if language in _SYMBOLS else _empty("unsupported")
 
 

@@ -22,6 +22,11 @@ RULES = [
     ("secret.url_token", re.compile(r"\bhttps?://(?P<v>[^\s/:@\"'$]+)@")),
     ("secret.contextual_token", re.compile(r"(?i:token|api_?key|secret|password|passwd)[\"']?\s*[:=]\s*(?:\"(?P<v>[^\"\n]{16,512})\"|'(?P<w>[^'\n]{16,512})'|(?P<x>[A-Za-z0-9_+/=.-]{20,512}))")),
 ]
+#: What a lower-cased text must contain for a rule.
+MARKS = {
+    "secret.private_key": ["private key-----"], "secret.github_token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "secret.aws_access_key": ["akia", "asia"], "secret.aws_secret_key": ["aws_secret_access_key"],
+    "secret.jwt": ["eyj"], "secret.bearer_token": ["authorization"], "secret.url_credentials": ["://"], "secret.url_token": ["://"], "secret.contextual_token": ["token", "apikey", "api_key", "secret", "password", "passwd"],
+}
 #: Bits a character that a contextual value must reach; words and placeholders stay below or lack digits.
 MIN_ENTROPY = 2.5
 
@@ -42,8 +47,10 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
     size = len(text.encode("utf-8", "surrogatepass"))
     if size > MAX_BYTES:
         return [("secret.scan_limit", 0, size)]
-    found = []
+    found, low = [], text.lower()
     for rule, pattern in RULES:
+        if not any(mark in low for mark in MARKS[rule]):
+            continue
         for m in pattern.finditer(text):
             group = next((g for g in ("v", "w", "x") if g in pattern.groupindex and m[g] is not None), 0)
             if rule != "secret.contextual_token" or _mixed(m[group]):
@@ -58,8 +65,12 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
             last = -end
     if text.isascii():
         return out
-    at = lambda i: len(text[:i].encode("utf-8", "surrogatepass"))
-    return [(rule, at(a), at(b)) for rule, a, b in out]
+    # places in bytes, from one walk over the text
+    byte, place, before = {}, 0, 0
+    for i in sorted({i for _, a, b in out for i in (a, b)}):
+        place += len(text[before:i].encode("utf-8", "surrogatepass"))
+        byte[i], before = place, i
+    return [(rule, byte[a], byte[b]) for rule, a, b in out]
 
 
 def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

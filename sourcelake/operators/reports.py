@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from sourcelake import __version__
+from sourcelake.functions.paths import relative_uri
 from sourcelake.operators.security import LEVELS
 from sourcelake.sources.output import MAX_DIAGNOSTICS, safe_text
 
@@ -16,14 +17,6 @@ SARIF_SCHEMA = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/errata01/os/schem
 FINDING_ORDER = ["relative_path", "line", "column", "rule_id", "fingerprint"]
 
 
-def relative_uri(path):
-    """The path with every byte outside ``A-Z a-z 0-9 - . _ ~ /`` escaped."""
-    out = F.url_encode(path)
-    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
-
-
 def capped_diagnostics(diagnostics: DataFrame, limit: int = MAX_DIAGNOSTICS) -> tuple[DataFrame, DataFrame]:
     """(the first ``limit`` distinct diagnostics by path and code, one row with the numbers emitted and suppressed)."""
     rows = diagnostics.select("code", "relative_path").distinct()

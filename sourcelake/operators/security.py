@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from sourcelake.functions import paths
 from sourcelake.functions.parse import SUBPROCESS
+from sourcelake.functions.yaml_tree import lines_in_scalars, yaml_signals
 from sourcelake.functions.secrets import spans_of
 
 # They must equal those of the contract.
@@ -17,6 +18,10 @@ MAX_PER_FILE = 2000
 NETWORK_WORDS = ["http", "https", "request", "fetch", "axios", "urllib", "ssl", "tls", "session", "client"]
 TLS_OFF_WHEN_FALSE = ["verify", "verifyssl", "verifytls", "checkhostname", "rejectunauthorized"]
 TLS_OFF_WHEN_TRUE = ["insecure", "ignorehttperrors", "dangeracceptinvalidcerts", "dangeracceptinvalidhostnames"]
+CORS_LANGUAGES = ["javascript", "typescript", "python", "php", "json", "yaml"]
+PROCESS_MODULE, PROCESS_CALLS, PROCESS_CALLS_WITH_OPTION = "child_process", ["exec", "execSync"], ["spawn", "spawnSync", "execFile", "execFileSync"]
+KINDS = {"secret.": "secret", "config-": "configuration"}
+CONFIDENCES = {"config-world-writable-mode": "medium", "config-wildcard-cors": "medium"}
 SIGNAL_OF_RULE = {"dangerous-eval": "dynamic_evaluation_primitive", "dangerous-process-execution": "process_execution_primitive", "dangerous-deserialization": "deserialization_primitive"}
 
 
@@ -32,7 +37,9 @@ def secret_findings(files: DataFrame) -> DataFrame:
     rows = spans.withColumn("s", F.explode("spans")).select("relative_path", "raw", F.col("s.rule_id").alias("rule_id"), F.col("s.start_byte").cast("int").alias("a"), F.col("s.end_byte").cast("int").alias("b"))
     before = F.decode(F.substring("raw", F.lit(1), F.col("a")), "UTF-8")
     value = F.sha2(F.substring("raw", F.col("a") + 1, F.col("b") - F.col("a")), 256)
-    return rows.select("rule_id", F.lit("high").alias("severity"), "relative_path", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"), fingerprint(F.col("rule_id"), F.col("relative_path"), value).alias("fingerprint"), F.lit("[REDACTED]").alias("preview"))
+    line = (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    column = (F.length(F.substring_index(before, "\n", -1)) + 1).cast("long")
+    return rows.select("rule_id", F.lit("high").alias("severity"), "relative_path", line.alias("line"), column.alias("column"), fingerprint(F.col("rule_id"), F.col("relative_path"), value).alias("fingerprint"), F.lit("[REDACTED]").alias("preview"))
 
 
 def primitive_findings(parsed: DataFrame) -> DataFrame:
@@ -41,33 +48,48 @@ def primitive_findings(parsed: DataFrame) -> DataFrame:
     head = F.substring_index("c.callee", ".", 1)
     found = F.get(F.filter("imports", lambda i: i.local_name == head), F.lit(0))
     rest = F.regexp_replace("c.callee", r"^[^.]*", "")
-    name = F.when(found.isNull(), F.col("c.callee")).otherwise(F.concat(found["module"], F.when(found["imported_name"].isNotNull(), F.concat(F.lit("."), found["imported_name"])).otherwise(""), rest))
+    # a default import of a module is the module
+    module, what = F.regexp_replace(found["module"], "^node:", ""), F.when(found["imported_name"] != "default", found["imported_name"])
+    name = F.when(found.isNull(), F.col("c.callee")).otherwise(F.concat(module, F.when(what.isNotNull(), F.concat(F.lit("."), what)).otherwise(""), rest))
     rows = calls.withColumn("name", name)
     n, lang = F.col("name"), F.col("language")
     js = lang.isin("javascript", "typescript")
     evaluates = ((lang == "python") & n.isin("eval", "exec", "builtins.eval", "builtins.exec")) | (js & n.isin("eval", "globalThis.eval", "window.eval", "Function")) | ((lang == "php") & (n == "eval"))
-    runs = ((lang == "python") & n.isin(*[f"subprocess.{x}" for x in sorted(SUBPROCESS)]) & F.coalesce("c.shell", F.lit(False))) | (js & n.rlike(r"^(?:child_process\.)?exec(?:Sync)?$")) | ((lang == "php") & n.isin("exec", "shell_exec", "system", "passthru", "popen", "proc_open"))
+    runs = ((lang == "python") & n.isin(*[f"subprocess.{x}" for x in sorted(SUBPROCESS)]) & F.coalesce("c.shell", F.lit(False))) | (js & n.isin(*[f"{PROCESS_MODULE}.{x}" for x in PROCESS_CALLS])) | (js & n.isin(*[f"{PROCESS_MODULE}.{x}" for x in PROCESS_CALLS_WITH_OPTION]) & F.coalesce("c.shell", F.lit(False))) | ((lang == "php") & n.isin("exec", "shell_exec", "system", "passthru", "popen", "proc_open"))
     loads = ((lang == "python") & n.isin("pickle.load", "pickle.loads")) | ((lang == "php") & (n == "unserialize"))
     rule = F.when(evaluates, "dangerous-eval").when(runs, "dangerous-process-execution").when(loads, "dangerous-deserialization")
-    return rows.withColumn("rule_id", rule).where("rule_id is not null").select("rule_id", F.lit("medium").alias("severity"), "relative_path", F.col("c.line").alias("line"))
+    return rows.withColumn("rule_id", rule).where("rule_id is not null").select("rule_id", F.lit("medium").alias("severity"), "relative_path", F.col("c.line").alias("line"), F.col("c.column").alias("column"))
+
+
+def literal_options(parsed: DataFrame) -> DataFrame:
+    """(relative_path, line, callee, name, value) of every literal boolean option of a call; (relative_path, parsed)."""
+    calls = parsed.select("relative_path", F.explode("parsed.calls").alias("c"))
+    return calls.select("relative_path", "c.line", "c.callee", F.explode("c.options").alias("o")).select("relative_path", "line", "callee", "o.name", "o.value")
 
 
 def configuration_findings(files: DataFrame) -> DataFrame:
-    """Findings of single lines; the first rule that fits a line wins and comment lines count for none."""
+    """Findings of single lines and of unpinned workflow actions; the first rule that fits a line wins, and comment lines and the texts of block scalars count for none."""
     name = paths.file_name(F.col("relative_path"))
     docker = (name == "Dockerfile") | name.startswith("Dockerfile.")
-    shell = paths.language(F.col("relative_path")) == "shell"
-    hint = F.col("content").rlike("(?i)chmod|USER|uses:|Access-Control-Allow-Origin|privileged")
-    lines = files.where(hint).select("relative_path", docker.alias("docker"), shell.alias("shell"), F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    language = paths.language(F.col("relative_path"))
+    hint = F.col("content").rlike("(?i)chmod|USER|Access-Control-Allow-Origin")
+    some = files.where(hint).select("relative_path", "content", docker.alias("docker"), language.alias("language"))
+    # only YAML files have block scalars, and only they go to Python
+    plain = some.where("language <> 'yaml'").withColumn("hidden", F.array().cast("array<long>"))
+    some = plain.unionByName(some.where("language = 'yaml'").withColumn("hidden", lines_in_scalars("content")))
+    lines = some.select("relative_path", "docker", "language", "hidden", F.posexplode(F.split("content", "\n")).alias("at", "text"))
     t = F.ltrim("text")
     root = F.col("docker") & t.rlike(r"^(?i:USER)\s+(?:root|[+-]?0+)(?:[:\s]|$)")
-    writable = (F.col("docker") | F.col("shell")) & t.rlike(r"\bchmod\s+(?:-R\s+)?0?777\b")
-    action = F.col("relative_path").startswith(".github/workflows/") & paths.is_mutable_reference(F.regexp_extract(t, r"^(?:- )?uses:\s*[\"']?([^\"'\s#]+)", 1)) & t.rlike(r"^(?:- )?uses:\s*\S")
-    cors = t.rlike(r"(?i)Access-Control-Allow-Origin[\"']?\s*[:,=]\s*[\"']?\*")
-    rule = F.when(root, "config-docker-root-user").when(writable, "config-world-writable-mode").when(action, "config-unpinned-github-action").when(cors, "config-wildcard-cors")
-    out = lines.where(~t.startswith("#") & ~t.startswith("//")).withColumn("rule_id", rule).where("rule_id is not null")
+    writable = (F.col("docker") | (F.col("language") == "shell")) & t.rlike(r"\bchmod\s+(?:-R\s+)?0?777\b")
+    cors = F.col("language").isin(CORS_LANGUAGES) & t.rlike(r"(?i)Access-Control-Allow-Origin[\"']?\s*[:,=]\s*[\"']?\*")
+    rule = F.when(root, "config-docker-root-user").when(writable, "config-world-writable-mode").when(cors, "config-wildcard-cors")
+    line = (F.col("at") + 1).cast("long")
+    out = lines.where(~t.startswith("#") & ~t.startswith("//") & ~F.array_contains("hidden", line)).withColumn("rule_id", rule).where("rule_id is not null")
+    out = out.select("rule_id", "relative_path", line.alias("line"))
+    actions = yaml_signals(files).select("relative_path", F.explode("signals").alias("s")).where("s.kind = 'github_workflow_mutable_ref'")
+    out = out.unionByName(actions.select(F.lit("config-unpinned-github-action").alias("rule_id"), "relative_path", "s.line"))
     low = F.col("rule_id").isin("config-docker-root-user", "config-wildcard-cors")
-    return out.select("rule_id", F.when(low, "low").otherwise("medium").alias("severity"), "relative_path", (F.col("at") + 1).cast("long").alias("line"))
+    return out.select("rule_id", F.when(low, "low").otherwise("medium").alias("severity"), "relative_path", "line")
 
 
 def environment_findings(files: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -102,7 +124,31 @@ def tls_signals(options: DataFrame) -> DataFrame:
 def capped(findings: DataFrame, limit: int = MAX_PER_FILE) -> DataFrame:
     """At most ``limit`` findings a file, and whether the file had more: that domain is then partial."""
     w = Window.partitionBy("relative_path").orderBy("line", "rule_id")
-    return findings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).withColumn("limited", F.col("place") == limit)
+    return findings.withColumn("place", F.row_number().over(w)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("relative_path"))).where(F.col("place") <= limit).withColumn("limited", F.col("all") > limit).drop("all")
+
+
+def limited_report(findings: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(the first ``limit`` findings by path and place, the files and domains that lost some: (relative_path, domain)).
+
+    Lost rows alone are looked at, so the report's cap costs a top-k and an anti join.
+    """
+    order = ["relative_path", "line", "column", "rule_id", "fingerprint"]
+    kept = findings.orderBy(*order).limit(limit)
+    lost = findings.join(kept.select(*order).distinct(), order, "left_anti")
+    return kept, lost.select("relative_path", domain_of(F.col("rule_id")).alias("domain")).distinct()
+
+
+def domain_of(rule_id):
+    return F.when(rule_id.startswith("secret."), "secrets").when(rule_id.startswith("config-"), "configuration").otherwise("dangerous_primitives")
+
+
+def described(findings: DataFrame) -> DataFrame:
+    """``findings`` with the kind and the confidence that follow from their rules."""
+    kind = F.lit("primitive")
+    for prefix, value in KINDS.items():
+        kind = F.when(F.col("rule_id").startswith(prefix), value).otherwise(kind)
+    confidence = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCES.items() for x in kv]), F.col("rule_id")), F.lit("high"))
+    return findings.withColumn("kind", kind).withColumn("confidence", confidence)
 
 
 def by_severity(findings: DataFrame) -> DataFrame:
@@ -114,14 +160,18 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     rules = findings.select("rule_id").distinct()
     indexed = rules.withColumn("rule_index", (F.row_number().over(Window.orderBy("rule_id")) - 1).cast("long"))
     levels = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
-    uri = F.replace(F.url_encode("relative_path"), F.lit("%2F"), F.lit("/"))
-    return findings.join(F.broadcast(indexed), "rule_id").select("rule_id", "rule_index", F.element_at(levels, F.col("severity")).alias("level"), F.replace(uri, F.lit("+"), F.lit("%20")).alias("uri"), "line")
+    return findings.join(F.broadcast(indexed), "rule_id").select("rule_id", "rule_index", F.element_at(levels, F.col("severity")).alias("level"), paths.relative_uri(F.col("relative_path")).alias("uri"), "line")
+
+
+#: Reasons of a domain's status, by what stopped it.
+MAX_REASONS, MAX_REASON_BYTES = 32, 64
 
 
-def file_coverage(inv: DataFrame, findings: DataFrame, stopped: DataFrame | None = None) -> DataFrame:
-    """Five rows a file: the status of each domain, and its number of findings where it is complete (else null).
+def file_coverage(inv: DataFrame, findings: DataFrame, stopped: DataFrame | None = None, unread: DataFrame | None = None) -> DataFrame:
+    """Five rows a file: the status of each domain, its number of findings where it is complete (else null), and the reasons of another status.
 
-    ``stopped`` (relative_path, domain) tells where a parser or a limit left a domain partial; without it this takes every file as seen to its end.
+    ``stopped`` (relative_path, domain, and reason if it has one) tells where a parser or a limit left a domain partial; without it this
+    takes every file as seen to its end. ``unread`` (relative_path) names files that could not be read: every domain of theirs is partial.
     """
     domain = F.explode(F.array(*map(F.lit, DOMAINS)))
     rows = inv.select("relative_path", "language", "binary", domain.alias("domain"))
@@ -129,10 +179,51 @@ def file_coverage(inv: DataFrame, findings: DataFrame, stopped: DataFrame | None
     needs_parser = F.col("domain").isin("dangerous_primitives", "bounded_dataflow")
     supported = F.when(F.col("domain") == "bounded_dataflow", F.col("language") == "python").otherwise(F.col("language").isin("php", "javascript", "typescript", "python"))
     status = F.when(F.col("binary"), "excluded").when(needs_parser & ~supported, "unsupported").otherwise("complete")
-    joined = rows.join(counts, ["relative_path", "domain"], "left").withColumn("status", status)
+    own_reason = F.when(F.col("binary"), F.array(F.lit("binary_file"))).when(needs_parser & ~supported, F.array(F.lit("language_unsupported"))).otherwise(F.array().cast("array<string>"))
+    joined = rows.join(counts, ["relative_path", "domain"], "left").withColumn("status", status).withColumn("reasons", own_reason).withColumn("read", F.lit(True))
     if stopped is not None:
-        joined = joined.join(stopped.distinct().withColumn("stopped", F.lit(True)), ["relative_path", "domain"], "left").withColumn("status", F.when(F.col("stopped") & (F.col("status") == "complete"), "partial").otherwise(F.col("status")))
-    return joined.select("relative_path", "domain", "status", F.lit(True).alias("selected"), F.lit(True).alias("read"), F.when(needs_parser, F.col("status") == "complete").alias("parsed"), (F.col("status") == "complete").alias("evaluated"), F.when(F.col("status") == "complete", F.coalesce("n", F.lit(0))).cast("long").alias("finding_count"))
+        if "reason" not in stopped.columns:
+            stopped = stopped.withColumn("reason", F.lit("limit"))
+        reasons = stopped.groupBy("relative_path", "domain").agg(reason_union(F.collect_set("reason")).alias("stopped"))
+        joined = joined.join(reasons, ["relative_path", "domain"], "left")
+        hit = F.col("stopped").isNotNull() & (F.col("status") == "complete")
+        joined = joined.withColumn("reasons", F.when(hit, F.col("stopped")).otherwise(F.col("reasons"))).withColumn("status", F.when(hit, "partial").otherwise(F.col("status")))
+    if unread is not None:
+        joined = joined.join(unread.select("relative_path").distinct().withColumn("lost", F.lit(True)), "relative_path", "left")
+        lost = F.col("lost").isNotNull()
+        joined = joined.withColumn("read", ~lost).withColumn("reasons", F.when(lost, F.array(F.lit("file_read_failed"))).otherwise(F.col("reasons"))).withColumn("status", F.when(lost, "partial").otherwise(F.col("status")))
+    complete = F.col("status") == "complete"
+    return joined.select("relative_path", "domain", "status", F.lit(True).alias("selected"), "read", F.when(needs_parser, complete).alias("parsed"), complete.alias("evaluated"), F.when(complete, F.coalesce("n", F.lit(0))).cast("long").alias("finding_count"), "reasons")
+
+
+def reason_union(reasons):
+    """Distinct reasons in order, of at most ``MAX_REASON_BYTES`` bytes each and ``MAX_REASONS`` in number."""
+    return F.slice(F.sort_array(F.array_distinct(F.filter(reasons, lambda r: F.octet_length(r) <= MAX_REASON_BYTES))), 1, MAX_REASONS)
+
+
+def coverage_violations(coverage: DataFrame) -> DataFrame:
+    """(relative_path, domain, rule) for every row that contradicts itself; a sound table gives none."""
+    complete = F.col("status") == "complete"
+    rules = {
+        "evaluated_unread": F.col("evaluated") & ~F.col("read"),
+        "read_unselected": F.col("read") & ~F.col("selected"),
+        "complete_unevaluated": complete & ~F.col("evaluated"),
+        "complete_unparsed": complete & (F.col("parsed") == F.lit(False)),
+        "count_unless_complete": complete != F.col("finding_count").isNotNull(),
+        "negative_count": F.coalesce(F.col("finding_count"), F.lit(0)) < 0,
+        "unknown_status": ~F.col("status").isin("complete", "partial", "unsupported", "excluded", "not_reported"),
+        "partial_without_reason": (F.col("status") == "partial") & (F.size("reasons") == 0),
+    }
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    twice = coverage.groupBy("relative_path", "domain").count().where("count > 1").select("relative_path", "domain", F.lit("reported_twice").alias("rule"))
+    return coverage.select("relative_path", "domain", F.explode(broken).alias("rule")).unionByName(twice)
+
+
+def limited_files(coverage: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows of the ``limit`` least paths, one row with the number of files omitted)."""
+    files = coverage.select("relative_path").distinct()
+    kept = files.orderBy("relative_path").limit(limit)
+    return coverage.join(kept, "relative_path", "left_semi"), files.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).cast("long").alias("omitted"))
 
 
 def domain_coverage(coverage: DataFrame) -> DataFrame:

@@ -93,18 +93,58 @@ def delta_counts(changes: DataFrame) -> DataFrame:
     return changes.agg(*[F.count_if(F.col("operation") == o).alias(f"{o}s" if o != "unchanged" else o) for o in ("upsert", "delete", "unchanged")])
 
 
+#: Ranges of paths in which events are numbered, and paths sampled to place them.
+EVENT_RANGES, EVENT_SAMPLE = 64, 6400
+
+
+def _numbered(rows: DataFrame, first: list[str]) -> DataFrame:
+    """``rows`` with ``seq``: their place by ``first``, relative_path and chunk_id, numbered within each of ``first``.
+
+    Rows are numbered within ranges of paths, whose bounds come from one sample of fixed size, and the ranges'
+    sizes are summed; no task sorts more than a range.
+    """
+    sample = sorted(r[0] for r in rows.select("relative_path").where("relative_path is not null").orderBy(F.xxhash64("relative_path", "chunk_id")).limit(EVENT_SAMPLE).collect())
+    bounds = sorted({sample[i * len(sample) // EVENT_RANGES] for i in range(1, EVENT_RANGES)}) if sample else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: b <= F.col("relative_path")))
+    ranged = rows.withColumn("__part", F.when(F.col("relative_path").isNull(), -1).otherwise(part))
+    # a few rows per range: one task
+    sizes = ranged.groupBy(*first, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*first).orderBy("__part")) - F.col("__n")).drop("__n")
+    on = [*first, "__part"]
+    place = F.row_number().over(Window.partitionBy(*on).orderBy("relative_path", "chunk_id"))
+    return ranged.withColumn("__place", place).join(F.broadcast(before), on).withColumn("seq", (F.col("__before") + F.col("__place")).cast("long")).select(*rows.columns, "seq")
+
+
 def events(changes: DataFrame) -> DataFrame:
-    """The stream of changes in the contract's order: upserts by path, then deletes by id; ``seq`` is the order within each kind."""
-    some = changes.where("operation <> 'unchanged'")
-    w = Window.partitionBy("operation").orderBy("relative_path", "chunk_id")
-    return some.withColumn("seq", F.row_number().over(w).cast("long"))
+    """The changes in the contract's order: upserts by path, then deletes by path; ``seq`` is the order within each kind."""
+    return _numbered(changes.where("operation <> 'unchanged'"), ["operation"])
+
+
+def event_stream(changes: DataFrame) -> DataFrame:
+    """The whole stream with one sequence from 0: start, upserts, deletes, complete, the last with the numbers of each."""
+    rows = events(changes)
+    counts = rows.groupBy().agg(F.count_if(F.col("operation") == "upsert").alias("upserts"), F.count_if(F.col("operation") == "delete").alias("deletes"))
+    body = rows.crossJoin(F.broadcast(counts.select("upserts"))).withColumn("seq", F.when(F.col("operation") == "delete", F.col("seq") + F.col("upserts")).otherwise(F.col("seq")))
+    none = F.lit(None)
+    start = counts.select(F.lit(0).cast("long").alias("seq"), F.lit("start").alias("event"), none.cast("string").alias("chunk_id"), none.cast("string").alias("relative_path"), none.cast("string").alias("content_hash"), none.cast("long").alias("upserts"), none.cast("long").alias("deletes"))
+    end = counts.select((F.col("upserts") + F.col("deletes") + 1).alias("seq"), F.lit("complete").alias("event"), none.cast("string").alias("chunk_id"), none.cast("string").alias("relative_path"), none.cast("string").alias("content_hash"), "upserts", "deletes")
+    body = body.select("seq", F.col("operation").alias("event"), "chunk_id", "relative_path", "content_hash", none.cast("long").alias("upserts"), none.cast("long").alias("deletes"))
+    return start.unionByName(body).unionByName(end)
 
 
-def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """``base`` after the changes; equals the target they were made from."""
+def apply_changes(base: DataFrame, changes: DataFrame, commit: str | None = None) -> DataFrame:
+    """``base`` after the changes; equals the target they were made from. With ``commit`` every row that stays or comes is bound to it (``commit_sha``)."""
     gone = changes.where("operation in ('upsert', 'delete')").select("chunk_id")
     new = changes.where("operation = 'upsert'").select("chunk_id", "relative_path", "content_hash")
-    return base.select("chunk_id", "relative_path", "content_hash").join(gone, "chunk_id", "left_anti").unionByName(new)
+    out = base.select("chunk_id", "relative_path", "content_hash").join(gone, "chunk_id", "left_anti").unionByName(new)
+    return out if commit is None else out.withColumn("commit_sha", F.lit(commit))
+
+
+def mismatches(state: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows of either side that the other does not have as often: none if a state equals its target manifest."""
+    keys = ["chunk_id", "relative_path", "content_hash"]
+    both = state.select(*keys, F.lit(1).alias("n")).unionByName(manifest.select(*keys, F.lit(-1).alias("n")))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0").select(*keys, F.when(F.col("n") > 0, "unexpected").otherwise("missing").alias("problem"))
 
 
 def covers_base(candidates: DataFrame, base: DataFrame) -> DataFrame:

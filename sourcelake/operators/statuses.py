@@ -35,3 +35,11 @@ def report_status(files: DataFrame, limited: bool = False) -> DataFrame:
     """One row: the status of the complexities, of the graph, and of the report, which is complete only if both are."""
     row = files.agg(overall(F.col("complexity_status"), F.lit(limited), "excluded").alias("complexity"), overall(F.col("graph_status"), None, "excluded").alias("graph"))
     return row.withColumn("report", F.when((F.col("complexity") == "complete") & (F.col("graph") == "complete"), "complete").otherwise("partial"))
+
+
+def tracking(files: DataFrame, tracked: DataFrame | None) -> DataFrame:
+    """``files`` with ``tracking``: tracked or untracked by ``tracked`` (relative_path), and unknown without an index (None)."""
+    if tracked is None:
+        return files.withColumn("tracking", F.lit("unknown"))
+    known = tracked.select("relative_path").distinct().withColumn("tracking", F.lit("tracked"))
+    return files.join(known, "relative_path", "left").withColumn("tracking", F.coalesce("tracking", F.lit("untracked")))

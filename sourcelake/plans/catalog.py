@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sourcelake.functions import paths
 from sourcelake.functions.parse import parse_source
 from sourcelake.functions.secrets import redact_secrets, spans_of
-from sourcelake.functions.yaml_lines import manifest_signals, yaml_signals
-from sourcelake.operators import analysis, budgets, ignores, protocol, reports, security, snapshot, statuses
+from sourcelake.functions.yaml_tree import manifest_signals, yaml_signals
+from sourcelake.operators import analysis, budgets, ignores, imports, protocol, reports, security, snapshot, statuses
 from sourcelake.sources.virtual import FILES_SQL, inventory, repo_files, table
 
 EXCLUDES = ["*.bin", "!src/**/f1*.bin", "docs/", "lib/d*/test_*"]
@@ -126,8 +126,9 @@ def f17_user_excludes(spark, sf_dir):
 
 
 def f19_tracking(spark, sf_dir):
-    tracked = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return repo_files(spark, sf_dir).join(tracked.withColumn("t", F.lit(True)), "doc_id", "left").select("relative_path", F.when(F.col("t"), "tracked").otherwise("untracked").alias("tracking"))
+    files = repo_files(spark, sf_dir)
+    tracked = files.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return statuses.tracking(files, tracked).select("relative_path", "tracking")
 
 
 def f27_mutable_references(spark, sf_dir):
@@ -181,7 +182,7 @@ def se2_redaction(spark, sf_dir):
 
 
 def sr1_secret_findings(spark, sf_dir):
-    return security.secret_findings(repo_files(spark, sf_dir).select("relative_path", "content"))
+    return security.secret_findings(repo_files(spark, sf_dir).select("relative_path", "content")).drop("column")
 
 
 def tf3_symbols(spark, sf_dir):
@@ -193,7 +194,7 @@ def tf6_metrics(spark, sf_dir):
 
 
 def tf7_calls(spark, sf_dir):
-    return parsed_code(spark, sf_dir).select("doc_id", F.explode("parsed.calls").alias("c")).select("doc_id", "c.*")
+    return parsed_code(spark, sf_dir).select("doc_id", F.explode("parsed.calls").alias("c")).select("doc_id", "c.callee", "c.line", "c.shell")
 
 
 def tf9_imports(spark, sf_dir):
@@ -228,10 +229,7 @@ def j4_test_mappings(spark, sf_dir):
 def j3_dependency_edges(spark, sf_dir):
     """Relative imports that resolve to exactly one of two candidate files."""
     files = code_files(spark, sf_dir).select("relative_path").union(spark.createDataFrame([("pkg/util.py",)], "relative_path string"))
-    facts = parsed_code(spark, sf_dir).select("relative_path", F.explode("parsed.dependencies").alias("d")).where("d.module like '.%'").select("relative_path", F.concat(F.regexp_replace("relative_path", "/[^/]*$", "/"), F.replace(F.substring("d.module", 2, 500), F.lit("."), F.lit("/"))).alias("stem"))
-    candidates = facts.distinct().select("relative_path", F.explode(F.array(F.concat("stem", F.lit(".py")), F.concat("stem", F.lit("/__init__.py")))).alias("target"))
-    found = candidates.join(files.select(F.col("relative_path").alias("target")), "target")
-    return found.groupBy("relative_path").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
+    return imports.dependency_edges(imports.dependency_facts(parsed_code(spark, sf_dir)), files)
 
 
 def _history(files: DataFrame) -> DataFrame:
@@ -279,7 +277,7 @@ def j7_base_paths_covered(spark, sf_dir):
 
 
 def sr2_primitives(spark, sf_dir):
-    return security.primitive_findings(parsed_code(spark, sf_dir))
+    return security.primitive_findings(parsed_code(spark, sf_dir)).drop("column")
 
 
 def _docker_files(spark, sf_dir) -> DataFrame:
@@ -403,7 +401,7 @@ def sk6_sarif(spark, sf_dir):
 def _coverage(spark, sf_dir) -> DataFrame:
     inv = _inventory(spark, sf_dir)
     found = repo_files(spark, sf_dir).select("relative_path", F.explode(spans_of(F.col("content"))).alias("s")).select("relative_path", F.lit("secrets").alias("domain"))
-    return security.file_coverage(inv, found)
+    return security.file_coverage(inv, found).drop("reasons")
 
 
 def cv1_file_coverage(spark, sf_dir):

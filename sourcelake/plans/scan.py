@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sourcelake.functions.parse import parse_source
 from sourcelake.functions.paths import is_binary
-from sourcelake.functions.yaml_lines import manifest_signals, yaml_signals
-from sourcelake.operators import ignores, security
+from sourcelake.functions.yaml_tree import manifest_signals, yaml_signals
+from sourcelake.operators import analysis, ignores, imports, security, statuses
 from sourcelake.sources import git, tree
 from sourcelake.sources.virtual import inventory
 
@@ -47,39 +47,63 @@ def findings(scan: Scan, code: DataFrame) -> DataFrame:
     spark = scan.files.sparkSession
     text = scan.files.where("content is not null").select("relative_path", "content")
     tracked = spark.createDataFrame([(p,) for p in sorted(scan.state.tracked or ())], "relative_path string")
-    secrets = security.secret_findings(text).drop("preview")
-    plain = [security.primitive_findings(code), security.configuration_findings(text), security.environment_findings(scan.files, tracked)]
     privileged = signals_of(yaml_signals(text)).where("kind = 'docker_privileged'").select(F.lit("config-docker-privileged").alias("rule_id"), F.lit("high").alias("severity"), "relative_path", "line")
-    out = secrets
-    for part in [*plain, privileged]:
-        out = out.unionByName(part.withColumn("fingerprint", security.fingerprint(F.col("rule_id"), F.col("relative_path"), F.col("line"))))
-    return security.capped(out.withColumn("column", F.lit(1).cast("long")).dropDuplicates(["relative_path", "line", "column", "rule_id", "fingerprint"]))
+    plain = [security.primitive_findings(code), *[x.withColumn("column", F.lit(1).cast("long")) for x in (security.configuration_findings(text), security.environment_findings(scan.files, tracked), privileged)]]
+    out = security.secret_findings(text).drop("preview")
+    for part in plain:
+        out = out.unionByName(part.withColumn("fingerprint", security.fingerprint(F.col("rule_id"), F.col("relative_path"), F.col("line"), F.col("column"))))
+    return security.capped(security.described(out.dropDuplicates(["relative_path", "line", "column", "rule_id", "fingerprint"])))
 
 
 def signals_of(scanned: DataFrame) -> DataFrame:
     return scanned.select("relative_path", F.explode("signals").alias("s")).select("s.kind", "relative_path", "s.line")
 
 
-def signals(scan: Scan, found: DataFrame) -> DataFrame:
+def signals(scan: Scan, found: DataFrame, code: DataFrame | None = None) -> DataFrame:
     text = scan.files.where("content is not null").select("relative_path", "content")
-    return security.execution_signals(text, found).unionByName(signals_of(yaml_signals(text))).unionByName(signals_of(manifest_signals(text))).distinct()
+    out = security.execution_signals(text, found).unionByName(signals_of(yaml_signals(text))).unionByName(signals_of(manifest_signals(text)))
+    if code is not None:
+        out = out.unionByName(security.tls_signals(security.literal_options(code)))
+    return out.distinct()
 
 
 def coverage(scan: Scan, found: DataFrame, code: DataFrame) -> DataFrame:
-    """Coverage by file and domain, with the findings of each: partial where the parser, the dataflow or the limit of findings stopped."""
-    domain = F.when(F.col("rule_id").startswith("secret."), "secrets").when(F.col("rule_id").startswith("config-"), "configuration").otherwise("dangerous_primitives")
-    of = lambda df, name: df.select("relative_path", F.lit(name).alias("domain"))
-    seen = found.select("relative_path", domain.alias("domain"))
-    seen = seen.unionByName(of(signals(scan, found.select("rule_id", "severity", "relative_path", "line")), "execution_surface"))
+    """Coverage by file and domain, with the findings of each: partial, with the reasons, where a parser, the dataflow, unsupported configuration or the limit of findings stopped."""
+    text = scan.files.where("content is not null").select("relative_path", "content")
+    of = lambda df, name, reason=None: df.select("relative_path", F.lit(name).alias("domain"), *([F.lit(reason).alias("reason")] if reason else []))
+    seen = found.select("relative_path", security.domain_of(F.col("rule_id")).alias("domain"))
+    seen = seen.unionByName(of(signals(scan, found.select("rule_id", "severity", "relative_path", "line"), code), "execution_surface"))
     seen = seen.unionByName(of(code.select("relative_path", F.explode("parsed.flows")), "bounded_dataflow"))
-    stopped = of(code.where("parsed.flow_status = 'partial'"), "bounded_dataflow")
+    stopped = of(code.where("parsed.flow_status = 'partial'"), "bounded_dataflow", "dataflow_partial")
     for name in ("dangerous_primitives", "execution_surface"):
-        stopped = stopped.unionByName(of(code.where("parsed.status = 'partial'"), name))
+        stopped = stopped.unionByName(of(code.where("parsed.status = 'partial'"), name, "parse_error"))
+    unsupported = yaml_signals(text).unionByName(manifest_signals(text)).where("partial")
+    for name in ("configuration", "execution_surface"):
+        stopped = stopped.unionByName(of(unsupported, name, "config_syntax_unsupported"))
+    limited = found.where("limited")
     for name in ("secrets", "configuration", "dangerous_primitives", "execution_surface"):
-        stopped = stopped.unionByName(of(found.where("limited"), name))
+        stopped = stopped.unionByName(of(limited, name, "finding_limit"))
     return security.file_coverage(scan.files, seen, stopped)
 
 
+#: Dependency edges in a report; more are counted.
+MAX_EDGES = 100_000
+
+
+def advanced(scan: Scan) -> dict:
+    """The advanced report: dependency edges, test mappings, and the statuses of files and of the report."""
+    code = parsed(scan).persist()
+    facts = imports.dependency_facts(code).persist()
+    edges, counts = imports.limited_edges(imports.dependency_edges(facts, scan.files), MAX_EDGES)
+    files = imports.graph_statuses(statuses.file_statuses(scan.files, code.select("relative_path", "parsed.status")), facts)
+    n = counts.first()
+    told = lambda df, *order: [r.asDict() for r in df.orderBy(*order).toLocalIterator()]
+    return {
+        **statuses.report_status(files, bool(n.suppressed)).first().asDict(), "edges": told(edges, "relative_path", "target"), "edges_suppressed": n.suppressed,
+        "test_mappings": told(analysis.test_mappings(scan.files.select("relative_path"), edges), "relative_path", "target"), "files": told(files, "relative_path"),
+    }
+
+
 def incomplete(scan: Scan) -> bool:
     """Whether something that the scan should have seen was lost."""
     return bool(scan.diagnostics.where(~F.col("code").isin(HARMLESS)).limit(1).count())

@@ -1,6 +1,6 @@
 import pytest
 
-from sourcelake.functions.yaml_lines import scan
+from sourcelake.functions.yaml_tree import scan
 
 PIN = "a" * 40
 
