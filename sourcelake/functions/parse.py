@@ -105,10 +105,6 @@ class _Python(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-class _Unmodelled(Exception):
-    """The way of a value cannot be followed."""
-
-
 def _hops(node: ast.AST, taint: dict[str, tuple[int, int]]) -> tuple[int, int] | None:
     """(hops, line of the source) of the least tainted way into an expression."""
     if isinstance(node, ast.Name):
@@ -118,70 +114,58 @@ def _hops(node: ast.AST, taint: dict[str, tuple[int, int]]) -> tuple[int, int] |
     if isinstance(node, ast.Call):
         best = min(filter(None, (_hops(a, taint) for a in [*node.args, *(k.value for k in node.keywords)])), default=None)
         return (best[0] + 1, best[1]) if best else None
-    # anything else is followed no further, and counts only if a tainted name is in it
-    if any(isinstance(n, ast.Name) and n.id in taint for n in ast.walk(node)):
-        raise _Unmodelled
     return None
 
 
-def _sinks(tree: ast.Module) -> dict[str, str]:
-    """What local names of imported modules and functions stand for."""
-    out = {}
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Import):
-            out |= {a.asname: a.name for a in n.names if a.asname}
-        elif isinstance(n, ast.ImportFrom) and not n.level:
-            out |= {a.asname or a.name: f"{n.module}.{a.name}" for a in n.names}
-    return out
+def _way(node: ast.AST, taint: dict[str, tuple[int, int]]) -> tuple[tuple[int, int] | None, bool]:
+    """(the least way, whether it is sure): an expression that names a tainted value in a form that is not followed is unsure."""
+    found = _hops(node, taint)
+    return found, found is not None or not any(isinstance(n, ast.Name) and n.id in taint for n in ast.walk(node))
 
 
-def _flows(tree: ast.Module, out: dict) -> None:
-    status, flows, known = "complete", set(), _sinks(tree)
+def _sink(call: ast.Call) -> str | None:
+    """What a call does with its first argument; names are taken as they stand, without the imports behind them."""
+    callee = _callee(call.func)
+    if callee in ("eval", "exec", "builtins.eval", "builtins.exec"):
+        return "dynamic_evaluation"
+    shell = [_boolean(k.value) for k in call.keywords if k.arg == "shell"]
+    return "process_execution" if shell == [True] and callee.startswith("subprocess.") and callee.split(".", 1)[1] in SUBPROCESS else None
 
-    def sink(call: ast.Call) -> str | None:
-        head, dot, rest = _callee(call.func).partition(".")
-        callee = known.get(head, head) + dot + rest
-        if callee in ("eval", "exec", "builtins.eval", "builtins.exec"):
-            return "dynamic_evaluation"
-        shell = [_boolean(k.value) for k in call.keywords if k.arg == "shell"]
-        return "process_execution" if shell == [True] and callee.split(".")[0] == "subprocess" and callee.split(".")[-1] in SUBPROCESS else None
 
+def _flows(tree: ast.Module, out: dict) -> None:
+    sure, flows = True, set()
     for fn in [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]:
         taint = {a.arg: (0, fn.lineno) for a in [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs] if a.arg not in ("self", "cls")}
         for s in fn.body:
-            if isinstance(s, (ast.Pass, ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal)):
+            if isinstance(s, (ast.Pass, ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                continue
+            if not isinstance(s, (ast.Assign, ast.Return, ast.Expr)):
+                sure = False  # control flow and other statements are not followed
                 continue
-            if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name):
-                value, name = s.value, s.targets[0].id
-            elif isinstance(s, (ast.Return, ast.Expr)):
-                value, name = s.value, None
-            else:
-                status = "partial"  # control flow ends the straight line
-                break
-            inspected = list(ast.walk(value)) if value is not None else []
-            if len(inspected) > MAX_INSPECTED:
-                status = "partial"
-                inspected = inspected[:MAX_INSPECTED]
-            for call in [n for n in inspected if isinstance(n, ast.Call)]:
-                kind = sink(call)
-                try:
-                    found = _hops(call.args[0], taint) if kind and call.args else None
-                except _Unmodelled:
-                    status, found = "partial", None
-                if found and found[0] <= MAX_HOPS:
-                    flows.add((call.lineno, found[1], found[0], kind))
-                elif found:
-                    status = "partial"
-            if name is not None:
-                try:
-                    found = _hops(value, taint)
-                except _Unmodelled:
-                    status, found = "partial", None
-                taint.pop(name, None)
-                if found:
+            inspected = list(ast.walk(s.value)) if s.value is not None else []
+            sure &= len(inspected) <= MAX_INSPECTED
+            for call in [n for n in inspected[:MAX_INSPECTED] if isinstance(n, ast.Call)]:
+                kind = _sink(call)
+                first = next((a for a in call.args if not isinstance(a, ast.Starred)), None)
+                if kind and first is not None:
+                    found, known = _way(first, taint)
+                    sure &= known and (found is None or found[0] <= MAX_HOPS)
+                    if found and found[0] <= MAX_HOPS:
+                        flows.add((call.lineno, found[1], found[0], kind))
+            if isinstance(s, ast.Expr):
+                sure &= isinstance(s.value, (ast.Call, ast.Name, ast.Constant))
+            elif isinstance(s, ast.Assign):
+                if len(s.targets) != 1 or not isinstance(s.targets[0], ast.Name):
+                    sure = False
+                    continue
+                name, (found, known) = s.targets[0].id, _way(s.value, taint)
+                sure &= known and (found is None or found[0] < MAX_HOPS)
+                if found is None:
+                    taint.pop(name, None)
+                elif found[0] < MAX_HOPS:
                     taint[name] = (found[0] + 1, found[1])
     out["flows"] = [{"kind": k, "source_line": a, "sink_line": b, "hops": h} for b, a, h, k in sorted(flows)]
-    out["flow_status"] = status
+    out["flow_status"] = "complete" if sure else "partial"
 
 
 def parse_python(source: str) -> dict:

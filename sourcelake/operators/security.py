@@ -167,11 +167,12 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 MAX_REASONS, MAX_REASON_BYTES = 32, 64
 
 
-def file_coverage(inv: DataFrame, findings: DataFrame, stopped: DataFrame | None = None, unread: DataFrame | None = None) -> DataFrame:
+def file_coverage(inv: DataFrame, findings: DataFrame, stopped: DataFrame | None = None, unread: DataFrame | None = None, ran: list[str] = DOMAINS) -> DataFrame:
     """Five rows a file: the status of each domain, its number of findings where it is complete (else null), and the reasons of another status.
 
     ``stopped`` (relative_path, domain, and reason if it has one) tells where a parser or a limit left a domain partial; without it this
     takes every file as seen to its end. ``unread`` (relative_path) names files that could not be read: every domain of theirs is partial.
+    Domains that no detector ``ran`` for are not reported.
     """
     domain = F.explode(F.array(*map(F.lit, DOMAINS)))
     rows = inv.select("relative_path", "language", "binary", domain.alias("domain"))
@@ -192,6 +193,8 @@ def file_coverage(inv: DataFrame, findings: DataFrame, stopped: DataFrame | None
         joined = joined.join(unread.select("relative_path").distinct().withColumn("lost", F.lit(True)), "relative_path", "left")
         lost = F.col("lost").isNotNull()
         joined = joined.withColumn("read", ~lost).withColumn("reasons", F.when(lost, F.array(F.lit("file_read_failed"))).otherwise(F.col("reasons"))).withColumn("status", F.when(lost, "partial").otherwise(F.col("status")))
+    told = F.col("domain").isin(ran)
+    joined = joined.withColumn("status", F.when(told, F.col("status")).otherwise("not_reported")).withColumn("read", told & F.col("read")).withColumn("reasons", F.when(told, F.col("reasons")).otherwise(F.array(F.lit("detector_not_run"))))
     complete = F.col("status") == "complete"
     return joined.select("relative_path", "domain", "status", F.lit(True).alias("selected"), "read", F.when(needs_parser, complete).alias("parsed"), complete.alias("evaluated"), F.when(complete, F.coalesce("n", F.lit(0))).cast("long").alias("finding_count"), "reasons")
 

@@ -44,7 +44,23 @@ _CODE = [
     "from .util import helper\n\ndef g{d}(x):\n    for i in x:\n        if i:\n            helper(i)\n",
     "LIMIT = 1\n\ndef h{d}(value):\n    y = value\n    return eval(y)\n",
 ]
-_DOCKER = "FROM base\nUSER root\nRUN chmod 777 /srv\n# USER root\nENTRYPOINT [\"run\"]\nCMD [\"x\"]\n"
+_DOCKER = [
+    "FROM base\nUSER root\nRUN chmod 777 /srv\n# USER root\nENTRYPOINT [\"run\"]\nCMD [\"x\"]\n",
+    "FROM base\nUSER app\n\n  RUN chmod -R 0777 /srv/{d}\nCMD [\"x\"]\n",
+    "FROM base\nuser 0:0\nRUN chmod 755 /srv\nENTRYPOINT [\"run\", \"{d}\"]\n",
+]
+#: A script per document that imports the next one and one that does not exist.
+_SCRIPT = """import {exec as run{d}} from 'node:child_process';
+import next from './m{n}.ts';
+import gone from '../gone/m{d}.ts';
+
+export class C{d} {
+  constructor(private x: string) {}
+  async call{d}(y: string): Promise<void> { run{d}(y); }
+}
+export const f{d} = (y: number): number => (y > 1 ? y : 2);
+next.request{d}('u', {verify: false, shell: true});
+"""
 
 _WORKFLOWS = [
     "on: push\npermissions:\n  contents: read\njobs:\n  a:\n    steps:\n      - uses: o/r@v1\n      - name: x\n        run: |\n          uses: no/no@v1\n",
@@ -281,7 +297,7 @@ def sr2_primitives(spark, sf_dir):
 
 
 def _docker_files(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/Dockerfile")).alias("relative_path"), F.lit(_DOCKER).alias("content"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/Dockerfile")).alias("relative_path"), F.replace(_pick(_DOCKER, F.col("doc_id") % 3), F.lit("{d}"), F.col("doc_id").cast("string")).alias("content"))
 
 
 def sr7_configuration(spark, sf_dir):
@@ -401,7 +417,7 @@ def sk6_sarif(spark, sf_dir):
 def _coverage(spark, sf_dir) -> DataFrame:
     inv = _inventory(spark, sf_dir)
     found = repo_files(spark, sf_dir).select("relative_path", F.explode(spans_of(F.col("content"))).alias("s")).select("relative_path", F.lit("secrets").alias("domain"))
-    return security.file_coverage(inv, found).drop("reasons")
+    return security.file_coverage(inv, found, ran=["secrets"]).drop("reasons")
 
 
 def cv1_file_coverage(spark, sf_dir):
@@ -430,6 +446,79 @@ def sk1_chunk_json(spark, sf_dir):
     return base.select(F.to_json(F.struct("chunk_id", "relative_path", "content_hash"), {"ignoreNullFields": "false"}).alias("line"))
 
 
+def _scripts(spark, sf_dir) -> DataFrame:
+    """A TypeScript module per document, parsed."""
+    d = F.col("doc_id").cast("string")
+    text = F.replace(F.replace(F.lit(_SCRIPT), F.lit("{d}"), d), F.lit("{n}"), (F.col("doc_id") + 1).cast("string"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("ts/m"), d, F.lit(".ts")).alias("relative_path"), F.lit("typescript").alias("language"), text.alias("content"))
+    return files.withColumn("parsed", parse_source("language", "content")).drop("content")
+
+
+def tf4_script_symbols(spark, sf_dir):
+    return _scripts(spark, sf_dir).select("doc_id", F.explode("parsed.symbols").alias("s")).select("doc_id", "s.*")
+
+
+def tf8_literal_options(spark, sf_dir):
+    return security.literal_options(_scripts(spark, sf_dir))
+
+
+def tf9_script_imports(spark, sf_dir):
+    return _scripts(spark, sf_dir).select("doc_id", F.explode("parsed.imports").alias("i")).select("doc_id", "i.*")
+
+
+def j2_script_edges(spark, sf_dir):
+    """Imports of scripts that are there: each one's next."""
+    code = _scripts(spark, sf_dir)
+    return imports.dependency_edges(imports.dependency_facts(code), code)
+
+
+def j11_aliased_execution(spark, sf_dir):
+    return security.primitive_findings(_scripts(spark, sf_dir))
+
+
+def cv2_coverage_violations(spark, sf_dir):
+    """Coverage whose counts were lost for every ninth file: those that are complete contradict themselves."""
+    rows = _mixed_coverage(spark, sf_dir)
+    lost = repo_files(spark, sf_dir).where("doc_id % 9 = 0").select("relative_path", F.lit(True).alias("lost"))
+    rows = rows.join(lost, "relative_path", "left").withColumn("finding_count", F.when(F.col("lost").isNull(), F.col("finding_count")))
+    return security.coverage_violations(rows)
+
+
+def _mixed_coverage(spark, sf_dir) -> DataFrame:
+    files = repo_files(spark, sf_dir)
+    found = files.select("relative_path", F.explode(spans_of(F.col("content"))).alias("s")).select("relative_path", F.lit("secrets").alias("domain"))
+    stopped = files.where("doc_id % 7 = 0").select("relative_path", F.explode(F.array(F.lit("secrets"), F.lit("dangerous_primitives"))).alias("domain"), F.explode(F.array(F.lit("finding_limit"), F.lit("a_limit"))).alias("reason"))
+    unread = files.where("doc_id % 11 = 0").select("relative_path")
+    inv = _inventory(spark, sf_dir).withColumn("binary", F.col("doc_id") % 13 == 0)
+    return security.file_coverage(inv, found, stopped, unread, ["secrets", "dangerous_primitives", "configuration"])
+
+
+def st7_coverage_reasons(spark, sf_dir):
+    """Coverage with all five statuses, and the reasons of each as text."""
+    return _mixed_coverage(spark, sf_dir).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def ev4_event_stream(spark, sf_dir):
+    return snapshot.event_stream(j6_snapshot_delta(spark, sf_dir))
+
+
+def ev5_mismatches(spark, sf_dir):
+    """Where the base differs from the target manifest."""
+    return snapshot.mismatches(*_manifests(spark, sf_dir))
+
+
+def sr9_unpinned_actions(spark, sf_dir):
+    d = F.col("doc_id")
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit(".github/workflows/w"), d.cast("string"), F.lit(".yml")).alias("relative_path"), _pick(_WORKFLOWS, d % 3).alias("content"))
+    return security.configuration_findings(files)
+
+
+def w6_report_cap(spark, sf_dir):
+    """The domains that lose findings where a report of all Docker files is cut at a hundred."""
+    found = sr7_configuration(spark, sf_dir).withColumn("column", F.lit(1)).withColumn("fingerprint", F.concat_ws(":", "relative_path", "line"))
+    return security.limited_report(found, 100)[1]
+
+
 _CODE_SQL = "WITH d AS (SELECT doc_id, doc_id % 4 AS k, CAST(doc_id AS VARCHAR) AS s, 'pkg/m' || CAST(doc_id AS VARCHAR) || '.py' AS relative_path FROM documents)\n"
 _DELTA_SQL = f"""WITH {FILES_SQL},
 b AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, relative_path, sha256(CASE WHEN doc_id % 5 = 0 THEN content || 'x' ELSE content END) AS content_hash FROM f WHERE doc_id % 13 <> 0),
@@ -437,19 +526,40 @@ t AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, relative_path, sha256(
 c AS (SELECT coalesce(t.chunk_id, b.chunk_id) AS chunk_id, coalesce(t.relative_path, b.relative_path) AS relative_path, CASE WHEN t.chunk_id IS NULL THEN 'delete' WHEN t.content_hash = b.content_hash THEN 'unchanged' ELSE 'upsert' END AS operation, t.content_hash FROM t FULL OUTER JOIN b ON t.chunk_id = b.chunk_id)
 """
 _PRIM_SQL = "SELECT CASE k WHEN 0 THEN 'dangerous-deserialization' WHEN 1 THEN 'dangerous-process-execution' ELSE 'dangerous-eval' END AS rule_id, 'medium' AS severity, relative_path, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS BIGINT) AS line FROM d WHERE k <> 2"
-_CONF_SQL = "SELECT r.rule_id, CASE r.line WHEN 2 THEN 'low' ELSE 'medium' END AS severity, 'd' || s || '/Dockerfile' AS relative_path, CAST(r.line AS BIGINT) AS line FROM d, (VALUES ('config-docker-root-user', 2), ('config-world-writable-mode', 3)) r(rule_id, line) WHERE doc_id % 5 = 0"
+_CONF_SQL = "SELECT r.rule_id, CASE r.rule_id WHEN 'config-docker-root-user' THEN 'low' ELSE 'medium' END AS severity, 'd' || s || '/Dockerfile' AS relative_path, CAST(r.line AS BIGINT) AS line FROM d JOIN (VALUES ('config-docker-root-user', 2, 0), ('config-world-writable-mode', 3, 0), ('config-world-writable-mode', 4, 1), ('config-docker-root-user', 2, 2)) r(rule_id, line, t) ON doc_id % 3 = r.t"
 _AWS = "len(regexp_extract_all(content, '\\b(?:AKIA|ASIA)[A-Z0-9]{16}\\b'))"
 _TOKEN = "len(regexp_extract_all(content, 'token = \"[0-9a-f]{40}\"'))"
 _COVER_SQL = INVENTORY_SQL + f""", dom(domain) AS (VALUES {', '.join(f"('{d}')" for d in security.DOMAINS)}),
-cov AS (SELECT relative_path, domain, CASE WHEN "binary" THEN 'excluded' WHEN domain = 'dangerous_primitives' AND language NOT IN ('php', 'javascript', 'typescript', 'python') OR domain = 'bounded_dataflow' AND language <> 'python' THEN 'unsupported' ELSE 'complete' END AS status, content FROM i, dom),
-c AS (SELECT relative_path, domain, status, true AS selected, true AS read, CASE WHEN domain IN ('dangerous_primitives', 'bounded_dataflow') THEN status = 'complete' END AS parsed, status = 'complete' AS evaluated,
+cov AS (SELECT relative_path, domain, CASE WHEN domain <> 'secrets' THEN 'not_reported' WHEN "binary" THEN 'excluded' ELSE 'complete' END AS status, content FROM i, dom),
+c AS (SELECT relative_path, domain, status, true AS selected, domain = 'secrets' AS read, CASE WHEN domain IN ('dangerous_primitives', 'bounded_dataflow') THEN status = 'complete' END AS parsed, status = 'complete' AS evaluated,
       CAST(CASE WHEN status = 'complete' THEN CASE WHEN domain = 'secrets' THEN {_AWS} + {_TOKEN} ELSE 0 END END AS BIGINT) AS finding_count FROM cov),
 a AS (SELECT domain, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'unsupported') AS unsupported, count(*) FILTER (status = 'excluded') AS excluded, count(*) FILTER (status = 'not_reported') AS not_reported, count(*) FILTER (read) AS read_files, count(*) FILTER (evaluated) AS evaluated_files, CAST(coalesce(sum(finding_count), 0) AS BIGINT) AS found FROM c GROUP BY domain),
 s AS (SELECT *, CASE WHEN partial > 0 OR complete > 0 AND unsupported > 0 OR not_reported > 0 AND complete + unsupported + excluded > 0 THEN 'partial' WHEN unsupported > 0 THEN 'unsupported' WHEN complete > 0 THEN 'complete' WHEN excluded > 0 AND not_reported = 0 THEN 'excluded' ELSE 'not_reported' END AS status FROM a)
 """
 _WALK = "string_split(relative_path, '/')"
+_MIXED_SQL = INVENTORY_SQL + f""", dom(domain) AS (VALUES {', '.join(f"('{d}')" for d in security.DOMAINS)}),
+m0 AS (SELECT doc_id, relative_path, domain, content, language, doc_id % 13 = 0 AS bin, domain IN ('secrets', 'dangerous_primitives', 'configuration') AS told, domain = 'dangerous_primitives' AND language NOT IN ('php', 'javascript', 'typescript', 'python') OR domain = 'bounded_dataflow' AND language <> 'python' AS unsup, doc_id % 7 = 0 AND domain IN ('secrets', 'dangerous_primitives') AS stop FROM i, dom),
+m AS (SELECT *, CASE WHEN NOT told THEN 'not_reported' WHEN doc_id % 11 = 0 THEN 'partial' WHEN bin THEN 'excluded' WHEN unsup THEN 'unsupported' WHEN stop THEN 'partial' ELSE 'complete' END AS status FROM m0),
+mc AS (SELECT doc_id, relative_path, domain, status, true AS selected, told AND doc_id % 11 <> 0 AS read, CASE WHEN domain IN ('dangerous_primitives', 'bounded_dataflow') THEN status = 'complete' END AS parsed, status = 'complete' AS evaluated,
+      CAST(CASE WHEN status = 'complete' THEN CASE WHEN domain = 'secrets' THEN {_AWS} + {_TOKEN} ELSE 0 END END AS BIGINT) AS finding_count,
+      CASE WHEN NOT told THEN 'detector_not_run' WHEN doc_id % 11 = 0 THEN 'file_read_failed' WHEN bin THEN 'binary_file' WHEN unsup THEN 'language_unsupported' WHEN stop THEN 'a_limit,finding_limit' ELSE '' END AS reasons FROM m)
+"""
+_TS_SQL = "WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 'ts/m' || CAST(doc_id AS VARCHAR) || '.ts' AS relative_path FROM documents)\n"
 
 ORACLE = {
+    "tf4_script_symbols": _TS_SQL + "SELECT doc_id, r.kind, replace(r.name, '#', s) AS name, replace(r.qualified_name, '#', s) AS qualified_name, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM d, (VALUES ('class', 'C#', 'C#', 5, 8), ('constructor', 'constructor', 'C#.constructor', 6, 6), ('method', 'call#', 'C#.call#', 7, 7), ('function', 'f#', 'f#', 9, 9)) r(kind, name, qualified_name, a, b)",
+    "tf8_literal_options": _TS_SQL + "SELECT relative_path, CAST(10 AS BIGINT) AS line, 'next.request' || s AS callee, r.name, r.value FROM d, (VALUES ('verify', false), ('shell', true)) r(name, value)",
+    "tf9_script_imports": _TS_SQL + "SELECT doc_id, r.module AS module, r.imported_name, replace(r.local_name, '#', s) AS local_name FROM d, (VALUES ('node:child_process', 'exec', 'run#')) r(module, imported_name, local_name) UNION ALL SELECT doc_id, './m' || CAST(doc_id + 1 AS VARCHAR) || '.ts', 'default', 'next' FROM d UNION ALL SELECT doc_id, '../gone/m' || s || '.ts', 'default', 'gone' FROM d",
+    "j2_script_edges": _TS_SQL + "SELECT DISTINCT d.relative_path, e.relative_path AS target FROM d JOIN d e ON e.doc_id = d.doc_id + 1",
+    "j11_aliased_execution": _TS_SQL + "SELECT 'dangerous-process-execution' AS rule_id, 'medium' AS severity, relative_path, CAST(7 AS BIGINT) AS line, CAST(42 + length(s) AS BIGINT) AS \"column\" FROM d",
+    "st7_coverage_reasons": _MIXED_SQL + "SELECT * EXCLUDE (doc_id) FROM mc",
+    "cv2_coverage_violations": _MIXED_SQL + "SELECT relative_path, domain, 'count_unless_complete' AS rule FROM mc WHERE status = 'complete' AND doc_id % 9 = 0",
+    "ev4_event_stream": _DELTA_SQL + """, n AS (SELECT CAST(count(*) FILTER (operation = 'upsert') AS BIGINT) AS upserts, CAST(count(*) FILTER (operation = 'delete') AS BIGINT) AS deletes FROM c),
+e AS (SELECT CAST(row_number() OVER (ORDER BY operation DESC, relative_path, chunk_id) AS BIGINT) AS seq, operation AS event, chunk_id, relative_path, content_hash FROM c WHERE operation <> 'unchanged')
+SELECT *, CAST(NULL AS BIGINT) AS upserts, CAST(NULL AS BIGINT) AS deletes FROM e UNION ALL SELECT 0, 'start', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT upserts + deletes + 1, 'complete', NULL, NULL, NULL, upserts, deletes FROM n""",
+    "ev5_mismatches": _DELTA_SQL + "SELECT *, 'unexpected' AS problem FROM (SELECT * FROM b EXCEPT SELECT * FROM t) UNION ALL SELECT *, 'missing' FROM (SELECT * FROM t EXCEPT SELECT * FROM b)",
+    "sr9_unpinned_actions": "SELECT 'config-unpinned-github-action' AS rule_id, 'medium' AS severity, '.github/workflows/w' || CAST(doc_id AS VARCHAR) || '.yml' AS relative_path, CAST(7 AS BIGINT) AS line FROM documents WHERE doc_id % 3 = 0",
+    "w6_report_cap": _CODE_SQL + f", x AS ({_CONF_SQL}), r AS (SELECT *, row_number() OVER (ORDER BY relative_path, line) AS n FROM x) SELECT DISTINCT relative_path, 'configuration' AS domain FROM r WHERE n > 100",
     "inventory_files": INVENTORY_SQL + 'SELECT doc_id, repo_id, relative_path, size_bytes, language, utf8, "binary", generated, content_hash, line_count FROM i',
     "ag1_summary": INVENTORY_SQL + f'SELECT count(*) AS files, count(*) FILTER ({_SOURCE}) AS source_files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_bytes, CAST(coalesce(sum(line_count), 0) AS BIGINT) AS total_lines, count(*) FILTER ("binary") AS binary_files, count(*) FILTER (NOT utf8) AS non_utf8_files, count(*) FILTER (generated) AS generated_files, count(kind) AS manifests, count(*) FILTER (test) AS test_files, count(*) FILTER (documentation) AS documentation_files, count(line_count) AS files_with_line_count FROM i',
     "ag2_language_stats": INVENTORY_SQL + f"SELECT language, count(*) AS files, count(*) FILTER ({_SOURCE}) AS source_files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(coalesce(sum(line_count), 0) AS BIGINT) AS lines, count(line_count) AS files_with_line_count, CAST(list_position([{_sql_list(paths.LANGUAGES)}], language) AS BIGINT) AS rank FROM i GROUP BY language",
@@ -490,7 +600,7 @@ SELECT relative_path, target, 'exact_import' AS basis FROM x UNION ALL SELECT t.
     "sr2_primitives": _CODE_SQL + _PRIM_SQL,
     "sr7_configuration": _CODE_SQL + _CONF_SQL,
     "sr5_environment_files": "SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'config-tracked-env' ELSE 'config-env-file' END AS rule_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'medium' ELSE 'low' END AS severity, 'e' || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '/.env' ELSE '/.env.local' END AS relative_path, CAST(1 AS BIGINT) AS line FROM documents WHERE doc_id % 4 < 2",
-    "ex8_signals": _CODE_SQL + "SELECT r.kind, 'd' || s || '/Dockerfile' AS relative_path, CAST(r.line AS BIGINT) AS line FROM d, (VALUES ('docker_root_user', 2), ('docker_entrypoint', 5), ('docker_command', 6)) r(kind, line) WHERE doc_id % 5 = 0 UNION ALL SELECT CASE k WHEN 0 THEN 'deserialization_primitive' WHEN 1 THEN 'process_execution_primitive' ELSE 'dynamic_evaluation_primitive' END, relative_path, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS BIGINT) FROM d WHERE k <> 2",
+    "ex8_signals": _CODE_SQL + "SELECT r.kind, 'd' || s || '/Dockerfile' AS relative_path, CAST(r.line AS BIGINT) AS line FROM d JOIN (VALUES ('docker_root_user', 2, 0), ('docker_entrypoint', 5, 0), ('docker_command', 6, 0), ('docker_command', 5, 1), ('docker_root_user', 2, 2), ('docker_entrypoint', 4, 2)) r(kind, line, t) ON doc_id % 3 = r.t UNION ALL SELECT CASE k WHEN 0 THEN 'deserialization_primitive' WHEN 1 THEN 'process_execution_primitive' ELSE 'dynamic_evaluation_primitive' END, relative_path, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS BIGINT) FROM d WHERE k <> 2",
     "ex2_scripts": "SELECT 'package_script' AS kind, 'n' || CAST(event_id AS VARCHAR) || '/package.json' AS relative_path, CAST(1 AS BIGINT) AS line FROM events WHERE len(json_keys(props)) > 0",
     "ex5_workflows": """WITH r(k, partial, kind, line, "column") AS (VALUES (0, false, 'github_workflow_triggers', 1, 1), (0, false, 'github_workflow_permissions', 2, 1), (0, false, 'github_workflow_uses', 7, 7), (0, false, 'github_workflow_mutable_ref', 7, 7),
 (1, false, 'github_workflow_triggers', 2, 1), (1, false, 'github_workflow_permissions', 6, 5), (1, false, 'github_workflow_uses', 7, 5), (2, true, NULL, NULL, NULL))
@@ -534,6 +644,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory_files, ag1_summary, ag2_language_stats, f9_manifests, f10_path_categories, f1_normalized_paths, f17_user_excludes, f19_tracking, f27_mutable_references, j8_tracked_directories, w1_largest_files, w3_file_budget, w4_byte_budget, w5_metadata_budget,
+        tf4_script_symbols, tf8_literal_options, tf9_script_imports, j2_script_edges, j11_aliased_execution, st7_coverage_reasons, cv2_coverage_violations, ev4_event_stream, ev5_mismatches, sr9_unpinned_actions, w6_report_cap,
         ag3_duplicate_groups, ag3_duplicate_members, se1_secret_counts, se2_redaction, sr1_secret_findings, tf3_symbols, tf6_metrics, tf7_calls, tf9_imports, tf11_dataflow, tf15_chunks, tf15_structural_chunks, j3_dependency_edges, j4_test_mappings, j1_hotspots, ag12_hotspot_status,
         j6_snapshot_delta, ag14_delta_counts, ev4_events, ev5_apply, j7_base_paths_covered, sr2_primitives, sr7_configuration, sr5_environment_files, ex8_signals, ex2_scripts, ex5_workflows, ex9_compose, ex10_tls, ex4_cargo, ex6_json_workflows, f18_ignored, ag8_statuses, ag11_report_status, ev3_abort_reasons, sk6_uris, sk10_diagnostic_counts, f23_object_ids, ag4_severities, sk6_sarif, cv1_file_coverage, ag5_domain_coverage, ag7_required_gate, cv4_evidence, sk1_chunk_json,
     )

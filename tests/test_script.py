@@ -73,7 +73,7 @@ def test_php_namespace_and_methods():
 
 
 def test_python_flows():
-    parsed = parse("python", "from subprocess import run as r\ndef f(x):\n    y = x\n    r(y, shell=True)\ndef g(x):\n    y = x if x else 1\n    eval(y)\n")
-    assert parsed["flows"] == [{"kind": "process_execution", "source_line": 2, "sink_line": 4, "hops": 1}] and parsed["flow_status"] == "partial"
+    parsed = parse("python", "import subprocess\ndef f(x):\n    if x:\n        pass\n    y = x\n    subprocess.run(y, shell=True)\ndef g(x):\n    y = x if x else 1\n    eval(y)\n")
+    assert parsed["flows"] == [{"kind": "process_execution", "source_line": 2, "sink_line": 6, "hops": 1}] and parsed["flow_status"] == "partial"
     call = parse("python", "é = f(a=True, b=1)")["calls"][0]
     assert (call["column"], call["options"]) == (5, [{"name": "a", "value": True, "argument": None}])
