@@ -1,4 +1,12 @@
-"""A corpus pipeline of five stages; each is written as Parquet and read again before the next."""
+"""A corpus pipeline of five stages; each is written as Parquet and read again before the next.
+
+Defined cases, for every stage: null, empty or wordless texts fail the quality rules and come no further, but a stage
+that is given such rows handles them (near duplicates and decontamination keep them, the mix takes them as often as their
+source's place in its order says, the token output has their end id alone). Null languages and sources are values of
+their own. Rows that repeat are judged alike, kept together and each written; rows of one doc_id and different texts are
+one node for near duplicates. A null doc_id is linked with nothing. Ties go to the least doc_id. An empty
+table gives an empty result, and columns beyond those of documents, whatever their names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
