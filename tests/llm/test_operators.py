@@ -474,3 +474,16 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count(), name
         assert all(tuple(r) == tuple(source[r.doc_id]) for r in docs.collect())
     assert len(p.STAGES) == 5 and p.run(spark, DATA).count() == docs.count()
+
+
+def test_pipeline_stages_on_odd_documents(spark, odd, none):
+    """Nulls, empty and long texts, repeated rows and clashing columns in every stage, and empty tables."""
+    import corpus_pipeline as p
+
+    source = {tuple(r) for r in odd.collect()}
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, odd, DATA)
+        assert got.columns == odd.columns and {tuple(r) for r in got.collect()} <= source, name
+        empty = stage(spark, none, DATA)
+        assert empty.columns == none.columns and empty.count() == 0, name
+    assert p.STAGES[-1][1](spark, odd, DATA).count() == odd.count() and p.STAGES[-1][1](spark, none, DATA).count() == 0
