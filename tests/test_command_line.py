@@ -201,3 +201,15 @@ def test_coverage_tells_what_was_not_seen(spark, tmp_path):
     assert surface > 0 and sum(got[p, "execution_surface"][3] or 0 for p in ("good.py", "Makefile", "package.json")) == surface
     of = {r.domain: r for r in security.domain_coverage(plan.coverage(scan, plan.findings(scan, code), code)).collect()}
     assert of["dangerous_primitives"].partial == 1 and of["dangerous_primitives"].status == "partial"
+
+
+def test_advanced_report(spark, tmp_path):
+    tree = tmp_path / "advanced"
+    (tree / "src").mkdir(parents=True)
+    (tree / "tests").mkdir()
+    (tree / "src/main.ts").write_text("export const a = 1;\n")
+    (tree / "tests/main.test.ts").write_text("import {a} from '../src/main.ts';\n")
+    code, out = run(tmp_path, "advanced.json", "analyze", tree, "--advanced")
+    got = json.loads(out.read_text())["advanced"]
+    assert code == 0 and got["edges"] == [{"relative_path": "tests/main.test.ts", "target": "src/main.ts"}]
+    assert got["test_mappings"] == [{"relative_path": "tests/main.test.ts", "target": "src/main.ts", "basis": "exact_import"}] and got["report"] == "complete"
