@@ -10,17 +10,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sourcelake.functions.script import parse_script
+from sourcelake.functions.secrets import HINT, detect, mask
 
 MAX_HOPS, MAX_BYTES, MAX_INSPECTED = 8, 8 << 20, 1024
 SUBPROCESS = {"run", "call", "Popen", "check_call", "check_output"}
 PARSED = (
     "struct<status:string,symbols:array<struct<kind:string,name:string,qualified_name:string,start_line:long,end_line:long>>,calls:array<struct<callee:string,line:long,column:long,shell:boolean,options:array<struct<name:string,value:boolean,argument:int>>>>,"
-    "imports:array<struct<module:string,imported_name:string,local_name:string>>,dependencies:array<struct<syntax:string,module:string,line:long>>,functions:long,branch_points:long,max_nesting:long,flows:array<struct<kind:string,source_line:long,sink_line:long,hops:long>>,flow_status:string>"
+    "imports:array<struct<module:string,imported_name:string,local_name:string>>,dependencies:array<struct<syntax:string,module:string,line:long>>,functions:long,branch_points:long,max_nesting:long,flows:array<struct<kind:string,source_line:long,sink_line:long,hops:long>>,flow_status:string,reason:string>"
 )
 
 
-def _empty(status: str) -> dict:
-    return {"status": status, "symbols": [], "calls": [], "imports": [], "dependencies": [], "functions": None, "branch_points": None, "max_nesting": None, "flows": [], "flow_status": "partial" if status == "partial" else "unsupported"}
+def _empty(status: str, reason: str | None = None) -> dict:
+    return {"reason": reason, "status": status, "symbols": [], "calls": [], "imports": [], "dependencies": [], "functions": None, "branch_points": None, "max_nesting": None, "flows": [], "flow_status": "partial" if status == "partial" else "unsupported"}
 
 
 def _callee(node: ast.AST) -> str:
@@ -253,15 +254,25 @@ def parse_tokens(language: str, source: str) -> dict:
 
 
 def parse(language: str, source: str | None) -> dict:
-    """The record of one file: unsupported languages and files over the limit have none of its counts."""
+    """The record of one file. A partial one has a reason: parse_error, parse_budget (over the limit of bytes) or redaction_budget
+    (too many secrets to mask; nothing is extracted). Names that hold a secret are masked. Unsupported languages have no counts.
+    """
     source = source or ""
     if len(source) > MAX_BYTES or (4 * len(source) > MAX_BYTES and len(source.encode("utf-8", "surrogatepass")) > MAX_BYTES):
-        return _empty("partial")
+        return _empty("partial", "parse_budget")
+    secrets = detect(source) if re.search(HINT, source) else []
+    if any(rule == "secret.scan_limit" for rule, _, _ in secrets):
+        return _empty("partial", "redaction_budget")
     if language == "python":
-        return parse_python(source)
-    if language in ("javascript", "typescript"):
-        return parse_script(source, language == "typescript")
-    return parse_tokens(language, source) if language in _SYMBOLS else _empty("unsupported")
+        out = parse_python(source)
+    elif language in ("javascript", "typescript"):
+        out = parse_script(source, language == "typescript")
+    else:
+        out = parse_tokens(language, source) if language in _SYMBOLS else _empty("unsupported")
+    if secrets:
+        for s in out["symbols"]:
+            s |= {k: mask(s[k], detect(s[k])) for k in ("name", "qualified_name")}
+    return {**out, "reason": "parse_error" if out["status"] == "partial" else None}
 
 
 def _parse_columns(languages: pd.Series, sources: pd.Series) -> pd.DataFrame:

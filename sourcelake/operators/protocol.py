@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -72,13 +73,18 @@ def manifest_of(rows: DataFrame, header: dict) -> dict:
 
 
 def event_lines(rows: DataFrame, base: DataFrame, start: dict, manifest: dict, aborts: list[str]) -> Iterator[str]:
-    """JSON lines of one transaction in the contract's order; a transaction that aborts has a start and an end only."""
-    number = 0
+    """JSON lines of one transaction in the contract's order; a transaction that aborts has a start and an end only.
+
+    The last line of a whole transaction has ``events_hash``: the digest of the bytes of all lines before it, line ends included.
+    """
+    number, running = 0, hashlib.sha256()
 
     def line(event: str, **fields) -> str:
         nonlocal number
         number += 1
-        return json.dumps({"event": event, "sequence": number - 1, **fields}, ensure_ascii=False, separators=(",", ":"))
+        text = json.dumps({"event": event, "sequence": number - 1, **fields}, ensure_ascii=False, separators=(",", ":"))
+        running.update(f"{text}\n".encode("utf-8", "surrogatepass"))
+        return text
 
     yield line("start", **start)
     if aborts:
@@ -94,4 +100,4 @@ def event_lines(rows: DataFrame, base: DataFrame, start: dict, manifest: dict, a
         totals["deletes"] += 1
         yield line("delete", chunk_id=r.chunk_id, relative_path=r.relative_path)
     kept = sum(len(f["chunks"]) for f in manifest["files"]) - totals["upserts"]
-    yield line("complete", **totals, unchanged=kept, manifest=manifest)
+    yield line("complete", **totals, unchanged=kept, events_hash=running.hexdigest(), manifest=manifest)

@@ -6,10 +6,11 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sourcelake.functions import registry
 from sourcelake.functions.parse import parse_source
 from sourcelake.functions.paths import is_binary
 from sourcelake.functions.yaml_tree import manifest_signals, yaml_signals
-from sourcelake.operators import analysis, ignores, imports, security, statuses
+from sourcelake.operators import analysis, ignores, imports, security, selection, statuses
 from sourcelake.sources import git, tree
 from sourcelake.sources.virtual import inventory
 
@@ -21,6 +22,7 @@ class Scan(NamedTuple):
     files: DataFrame  # repo_id, relative_path, content (text; null unless UTF-8 without NUL), size_bytes, language, binary, content_hash, ...
     diagnostics: DataFrame  # code, relative_path
     state: git.GitState
+    ignore_files: DataFrame  # relative_path, content_hash of the ignore files that were read
 
 
 def open_tree(spark: SparkSession, root: str, repo_id: str = "", **limits) -> Scan:
@@ -35,7 +37,13 @@ def open_tree(spark: SparkSession, root: str, repo_id: str = "", **limits) -> Sc
     unread = raw.where("content is null").select(F.lit("file_read_failed").alias("code"), "relative_path")
     skipped = decided.where("ignored").select(F.lit("ignored_vcs").alias("code"), "relative_path")
     kept = decided.where("not ignored and content is not null").drop("ignored")
-    return Scan(inventory(kept).withColumn("content", text).persist(), notes.select("code", "relative_path").unionByName(unread).unionByName(skipped), state)
+    sources = rules.select("relative_path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+    return Scan(inventory(kept).withColumn("content", text).persist(), notes.select("code", "relative_path").unionByName(unread).unionByName(skipped), state, sources)
+
+
+def selection_id(scan: Scan) -> str:
+    """Digest of where the ignore files lie and of their bytes."""
+    return selection.fingerprint(scan.ignore_files).first().fingerprint
 
 
 def parsed(scan: Scan) -> DataFrame:
@@ -76,7 +84,7 @@ def coverage(scan: Scan, found: DataFrame, code: DataFrame) -> DataFrame:
     seen = seen.unionByName(of(code.select("relative_path", F.explode("parsed.flows")), "bounded_dataflow"))
     stopped = of(code.where("parsed.flow_status = 'partial'"), "bounded_dataflow", "dataflow_partial")
     for name in ("dangerous_primitives", "execution_surface"):
-        stopped = stopped.unionByName(of(code.where("parsed.status = 'partial'"), name, "parse_error"))
+        stopped = stopped.unionByName(code.where("parsed.status = 'partial'").select("relative_path", F.lit(name).alias("domain"), F.coalesce("parsed.reason", F.lit("parse_error")).alias("reason")))
     unsupported = yaml_signals(text).unionByName(manifest_signals(text)).where("partial")
     for name in ("configuration", "execution_surface"):
         stopped = stopped.unionByName(of(unsupported, name, "config_syntax_unsupported"))
@@ -98,12 +106,26 @@ def advanced(scan: Scan) -> dict:
     files = imports.graph_statuses(statuses.file_statuses(scan.files, code.select("relative_path", "parsed.status")), facts)
     n = counts.first()
     told = lambda df, *order: [r.asDict() for r in df.orderBy(*order).toLocalIterator()]
+    mappings = analysis.test_mappings(scan.files.select("relative_path"), edges)
+    mapped = selection.mapping_status(mappings, files, bool(n.suppressed) or incomplete(scan)).first()
+    row = statuses.report_status(files, bool(n.suppressed)).first().asDict()
+    row["report"] = row["report"] if mapped.status == "complete" else "partial"
     return {
-        **statuses.report_status(files, bool(n.suppressed)).first().asDict(), "edges": told(edges, "relative_path", "target"), "edges_suppressed": n.suppressed,
-        "test_mappings": told(analysis.test_mappings(scan.files.select("relative_path"), edges), "relative_path", "target"), "files": told(files, "relative_path"),
+        **row, "test_mapping_status": mapped.status, "test_mapping_count": mapped.mappings, "edges": told(edges, "relative_path", "target"), "edges_suppressed": n.suppressed,
+        "test_mappings": told(mappings, "relative_path", "target"), "files": told(files, "relative_path"),
     }
 
 
 def incomplete(scan: Scan) -> bool:
     """Whether something that the scan should have seen was lost."""
     return bool(scan.diagnostics.where(~F.col("code").isin(HARMLESS)).limit(1).count())
+
+
+def register(scan: Scan, prefix: str = "") -> list[str]:
+    """Temporary views of the scan's relations, and the library's functions, for SQL."""
+    code = parsed(scan)
+    found = findings(scan, code).drop("place", "limited")
+    edges = imports.dependency_edges(imports.dependency_facts(code), scan.files)
+    relations = {"files": scan.files, "diagnostics": scan.diagnostics, "code": code, "findings": found, "dependency_edges": edges, "test_mappings": analysis.test_mappings(scan.files.select("relative_path"), edges)}
+    registry.register(scan.files.sparkSession)
+    return registry.views(relations, prefix)

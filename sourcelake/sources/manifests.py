@@ -181,6 +181,11 @@ def evidence(data: bytes, subject: dict | None = None) -> dict:
     return e
 
 
+def subject_of(snapshot: dict) -> dict:
+    """The five fields by which evidence names an accepted snapshot."""
+    return {k: snapshot[k] for k in EVIDENCE["subject"]}
+
+
 def manifest_table(spark: SparkSession, manifest: dict) -> DataFrame:
     """One row per chunk of an accepted manifest."""
     rows = [(c["chunk_id"], f["relative_path"], c["content_hash"], c["record_hash"]) for f in manifest["files"] for c in f["chunks"]]
