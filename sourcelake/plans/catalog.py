@@ -8,7 +8,7 @@ from sourcelake.functions import paths
 from sourcelake.functions.parse import parse_source
 from sourcelake.functions.secrets import redact_secrets, spans_of
 from sourcelake.functions.yaml_tree import manifest_signals, yaml_signals
-from sourcelake.operators import analysis, budgets, ignores, imports, protocol, reports, security, snapshot, statuses
+from sourcelake.operators import analysis, budgets, ignores, imports, protocol, reports, security, selection, snapshot, statuses
 from sourcelake.sources.virtual import FILES_SQL, inventory, repo_files, table
 
 EXCLUDES = ["*.bin", "!src/**/f1*.bin", "docs/", "lib/d*/test_*"]
@@ -86,6 +86,13 @@ _JSON_WORKFLOWS = [
     '{"on": ["push"], "jobs": []}',
     '{"on": "push",}',
 ]
+#: Text before a secret, the secret, text after it, and the rule; no rule: no secret.
+_SECRETS = [
+    ("", "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----", "\n", "secret.private_key"), ("é ", "-----BEGIN PRIVATE KEY-----\nno end", "", "secret.private_key"), ("t ", "ghp_" + "a" * 36, " t", "secret.github_token"), ("ghp_" + "a" * 12, "", "", None),
+    ("key ", "AKIA" + "B" * 16, ".", "secret.aws_access_key"), ("aws_secret_access_key = '", "A" * 39 + "1", "'", "secret.aws_secret_key"), ("", "eyJhbGci.eyJzdWIi.c2lnbmF0", " é", "secret.jwt"), ("Authorization: Bearer ", "abcdefghijklmnop1234", "", "secret.bearer_token"),
+    ("postgres://user:", "pa55word", "@host/db", "secret.url_credentials"), ("redis://:", "pw", "@host", "secret.url_credentials"), ("postgres://user:$PASS@host/db", "", "", None), ("https://", "abc123token", "@host/x", "secret.url_token"), ("'api_key': '", "a1b2c3d4e5f6g7h8ü9", "'", "secret.contextual_token"),
+    ("password = 'aaaaaaaaaaaaaaaaaaaa'", "", "", None), ("secret: process.env.SOME_SECRET_1234567", "", "", None), ("api_key = 'your_api_key_here'", "", "", None), ("password: 'just-a-word'", "", "", None),
+]
 _IGNORES = [(".gitignore", "*.bin\nbuild/\n/docs/**/f1*\n!f3.bin\n"), ("src/.gitignore", "pkg/\n!*.bin\n"), ("lib/.gitignore", "test_*\n")]
 _DIAGNOSTICS = ["excluded_user", "file_too_large", "ignored_vcs", "max_files"]
 
@@ -519,6 +526,61 @@ def w6_report_cap(spark, sf_dir):
     return security.limited_report(found, 100)[1]
 
 
+def ag20_selection_fingerprint(spark, sf_dir):
+    """The fingerprint of all files."""
+    return selection.fingerprint(_inventory(spark, sf_dir))
+
+
+def sc4_drift(spark, sf_dir):
+    """Files that a second read finds changed (every fifth) or not at all (every thirteenth)."""
+    before = repo_files(spark, sf_dir)
+    after = before.where("doc_id % 13 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
+    return selection.drift(inventory(before), inventory(after))
+
+
+def j13_unbound_paths(spark, sf_dir):
+    base, target = _manifests(spark, sf_dir)
+    return selection.unbound(base, target)
+
+
+def j18_exactly_one(spark, sf_dir):
+    """Keys of all documents against those of every fortieth, nulls included."""
+    keys = repo_files(spark, sf_dir).select("doc_id", "repo_id", (F.col("doc_id") % 7).alias("step"))
+    return selection.exactly_one(keys, keys.where("doc_id % 40 = 0"), ["repo_id", "step"])
+
+
+def ag13_index_summary(spark, sf_dir):
+    return selection.index_summary(snapshot.structural_chunks(code_files(spark, sf_dir)).where("content is not null"))
+
+
+def ag10_mapping_status(spark, sf_dir):
+    return selection.mapping_status(j4_test_mappings(spark, sf_dir), _file_statuses(spark, sf_dir))
+
+
+def w8_edge_cap(spark, sf_dir):
+    """How many edges a report of a hundred tells and leaves out."""
+    return imports.limited_edges(j2_script_edges(spark, sf_dir), 100)[1]
+
+
+def ag16_omitted_files(spark, sf_dir):
+    """How many files a coverage report of a hundred leaves out."""
+    return security.limited_files(_coverage(spark, sf_dir), 100)[1]
+
+
+def se3_secret_kinds(spark, sf_dir):
+    """A text of every kind of secret, and of what is none, below a line with the document's id."""
+    text = _pick([a + b + c for a, b, c, _ in _SECRETS], F.col("doc_id") % len(_SECRETS))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), text).alias("content"))
+    return files.select("doc_id", F.explode_outer(spans_of(F.col("content"))).alias("s")).select("doc_id", "s.rule_id", "s.start_byte", "s.end_byte")
+
+
+def tf2_parse_reasons(spark, sf_dir):
+    d = F.col("doc_id")
+    language, text = _pick(["python", "python", "go", "typescript"], d % 4), _pick(["x = 1\n", "def (:\n", "package x\n", "const x = [1;\n"], d % 4)
+    rows = table(spark, sf_dir, "documents").select("doc_id", parse_source(language, text).alias("parsed"))
+    return rows.select("doc_id", "parsed.status", "parsed.reason")
+
+
 _CODE_SQL = "WITH d AS (SELECT doc_id, doc_id % 4 AS k, CAST(doc_id AS VARCHAR) AS s, 'pkg/m' || CAST(doc_id AS VARCHAR) || '.py' AS relative_path FROM documents)\n"
 _DELTA_SQL = f"""WITH {FILES_SQL},
 b AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, relative_path, sha256(CASE WHEN doc_id % 5 = 0 THEN content || 'x' ELSE content END) AS content_hash FROM f WHERE doc_id % 13 <> 0),
@@ -547,6 +609,17 @@ mc AS (SELECT doc_id, relative_path, domain, status, true AS selected, told AND
 _TS_SQL = "WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 'ts/m' || CAST(doc_id AS VARCHAR) || '.ts' AS relative_path FROM documents)\n"
 
 ORACLE = {
+    "ag20_selection_fingerprint": f"""WITH {FILES_SQL}, r AS (SELECT DISTINCT sha256(strlen(relative_path) || ':' || relative_path || sha256(content)) AS d FROM f), b AS (SELECT substring(d, 1, 3) AS k, sha256(string_agg(d, '' ORDER BY d)) AS h, count(*) AS n FROM r GROUP BY 1)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS entries, sha256(CAST(coalesce(sum(n), 0) AS BIGINT) || ':' || coalesce(string_agg(h, '' ORDER BY k), '')) AS fingerprint FROM b""",
+    "sc4_drift": f"""WITH {FILES_SQL}, a AS (SELECT relative_path, list_sort(list(DISTINCT sha256(content))) AS h FROM f GROUP BY 1), z AS (SELECT relative_path, list_sort(list(DISTINCT sha256(CASE WHEN doc_id % 5 = 0 THEN content || 'x' ELSE content END))) AS h FROM f WHERE doc_id % 13 <> 0 GROUP BY 1)
+SELECT relative_path, CASE WHEN z.h IS NULL THEN 'file_read_failed' ELSE 'file_changed' END AS code FROM a LEFT JOIN z USING (relative_path) WHERE z.h IS NULL OR a.h <> z.h""",
+    "j13_unbound_paths": _DELTA_SQL + "SELECT relative_path, 'selection' AS side FROM (SELECT DISTINCT relative_path FROM b EXCEPT SELECT relative_path FROM t) UNION ALL SELECT relative_path, 'manifest' FROM (SELECT DISTINCT relative_path FROM t EXCEPT SELECT relative_path FROM b)",
+    "j18_exactly_one": f"WITH {FILES_SQL}, k AS (SELECT repo_id, doc_id % 7 AS step, count(*) FILTER (doc_id % 40 = 0) AS matches FROM f GROUP BY ALL) SELECT *, matches = 1 AS accepted FROM k",
+    "w8_edge_cap": "SELECT least(count(*), 100) AS emitted, greatest(count(*) - 100, 0) AS suppressed FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1",
+    "ag16_omitted_files": f"WITH {FILES_SQL} SELECT greatest(count(DISTINCT relative_path) - 100, 0) AS omitted FROM f",
+    "se3_secret_kinds": f"""WITH r(k, rule_id, a, b) AS (VALUES {', '.join(f"({i}, {repr(rule) if rule else 'NULL'}, {len(x.encode())}, {len((x + y).encode())})" for i, (x, y, _, rule) in enumerate(_SECRETS))})
+SELECT doc_id, rule_id, CAST(CASE WHEN rule_id IS NOT NULL THEN a + 3 + strlen(CAST(doc_id AS VARCHAR)) END AS BIGINT) AS start_byte, CAST(CASE WHEN rule_id IS NOT NULL THEN b + 3 + strlen(CAST(doc_id AS VARCHAR)) END AS BIGINT) AS end_byte FROM documents JOIN r ON k = doc_id % {len(_SECRETS)}""",
+    "tf2_parse_reasons": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'complete' WHEN 2 THEN 'unsupported' ELSE 'partial' END AS status, CASE WHEN doc_id % 4 IN (1, 3) THEN 'parse_error' END AS reason FROM documents",
     "tf4_script_symbols": _TS_SQL + "SELECT doc_id, r.kind, replace(r.name, '#', s) AS name, replace(r.qualified_name, '#', s) AS qualified_name, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM d, (VALUES ('class', 'C#', 'C#', 5, 8), ('constructor', 'constructor', 'C#.constructor', 6, 6), ('method', 'call#', 'C#.call#', 7, 7), ('function', 'f#', 'f#', 9, 9)) r(kind, name, qualified_name, a, b)",
     "tf8_literal_options": _TS_SQL + "SELECT relative_path, CAST(10 AS BIGINT) AS line, 'next.request' || s AS callee, r.name, r.value FROM d, (VALUES ('verify', false), ('shell', true)) r(name, value)",
     "tf9_script_imports": _TS_SQL + "SELECT doc_id, r.module AS module, r.imported_name, replace(r.local_name, '#', s) AS local_name FROM d, (VALUES ('node:child_process', 'exec', 'run#')) r(module, imported_name, local_name) UNION ALL SELECT doc_id, './m' || CAST(doc_id + 1 AS VARCHAR) || '.ts', 'default', 'next' FROM d UNION ALL SELECT doc_id, '../gone/m' || s || '.ts', 'default', 'gone' FROM d",
@@ -640,11 +713,16 @@ SELECT rule_id, 'high' AS severity, relative_path, CAST(line AS BIGINT) AS line,
     "sk1_chunk_json": _DELTA_SQL + "SELECT '{\"chunk_id\":\"' || chunk_id || '\",\"relative_path\":\"' || relative_path || '\",\"content_hash\":\"' || content_hash || '\"}' AS line FROM b",
 }
 
+ORACLE["ag13_index_summary"] = f"SELECT count(DISTINCT relative_path) AS files_indexed, count(*) AS records_written, CAST(0 AS BIGINT) AS redacted_records FROM ({ORACLE['tf15_structural_chunks']})"
+ORACLE["ag10_mapping_status"] = f"""WITH m AS ({ORACLE['j4_test_mappings']}), g AS (SELECT relative_path, max(graph_status) AS graph_status FROM ({ORACLE['ag8_statuses']}) GROUP BY 1), r AS (SELECT coalesce(bool_and(coalesce(graph_status, '') = 'complete'), true) AS whole, count(*) AS n FROM m LEFT JOIN g USING (relative_path))
+SELECT CASE WHEN whole THEN 'complete' ELSE 'partial' END AS status, CASE WHEN whole THEN n END AS mappings FROM r"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         inventory_files, ag1_summary, ag2_language_stats, f9_manifests, f10_path_categories, f1_normalized_paths, f17_user_excludes, f19_tracking, f27_mutable_references, j8_tracked_directories, w1_largest_files, w3_file_budget, w4_byte_budget, w5_metadata_budget,
         tf4_script_symbols, tf8_literal_options, tf9_script_imports, j2_script_edges, j11_aliased_execution, st7_coverage_reasons, cv2_coverage_violations, ev4_event_stream, ev5_mismatches, sr9_unpinned_actions, w6_report_cap,
+        ag20_selection_fingerprint, sc4_drift, j13_unbound_paths, j18_exactly_one, ag13_index_summary, ag10_mapping_status, w8_edge_cap, ag16_omitted_files, se3_secret_kinds, tf2_parse_reasons,
         ag3_duplicate_groups, ag3_duplicate_members, se1_secret_counts, se2_redaction, sr1_secret_findings, tf3_symbols, tf6_metrics, tf7_calls, tf9_imports, tf11_dataflow, tf15_chunks, tf15_structural_chunks, j3_dependency_edges, j4_test_mappings, j1_hotspots, ag12_hotspot_status,
         j6_snapshot_delta, ag14_delta_counts, ev4_events, ev5_apply, j7_base_paths_covered, sr2_primitives, sr7_configuration, sr5_environment_files, ex8_signals, ex2_scripts, ex5_workflows, ex9_compose, ex10_tls, ex4_cargo, ex6_json_workflows, f18_ignored, ag8_statuses, ag11_report_status, ev3_abort_reasons, sk6_uris, sk10_diagnostic_counts, f23_object_ids, ag4_severities, sk6_sarif, cv1_file_coverage, ag5_domain_coverage, ag7_required_gate, cv4_evidence, sk1_chunk_json,
     )
