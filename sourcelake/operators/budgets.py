@@ -28,24 +28,22 @@ def metadata_bytes(files: DataFrame, limit: int) -> DataFrame:
 def total_bytes(inv: DataFrame, limit: int) -> DataFrame:
     """Files that a greedy walk admits: one that is larger than what is left is skipped, the walk goes on.
 
-    Repositories within the budget need no walk. The others are walked in order, a batch of rows at a time.
+    The window deals and orders the rows; it must stand right below the walk. A ``repartition`` does not do: it is left out
+    where a join below has dealt by the same column, and the join may become a broadcast join while it runs.
     """
-    rows = inv.select("repo_id", "relative_path", "size_bytes")
-    total = rows.groupBy("repo_id").agg((F.sum("size_bytes") > limit).alias("over"))
-    marked = rows.join(total, "repo_id")
-    n = int(inv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "repo_id string, relative_path string, size_bytes long"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repo, left = None, 0
+    w = Window.partitionBy("repo_id").orderBy(F.split("relative_path", "/"), "size_bytes")
+    # a file over the whole budget is never admitted
+    rows = inv.select("repo_id", "relative_path", "size_bytes").where(F.col("size_bytes") <= limit).withColumn("place", F.row_number().over(w))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = limit
         for frame in batches:
             keep = []
-            for r, size in zip(frame.repo_id, frame.size_bytes):
-                if r != repo:
-                    repo, left = r, limit
+            for place, size in zip(frame.place.tolist(), frame.size_bytes.tolist()):
+                if place == 1:
+                    left = limit
                 keep.append(size <= left)
                 left -= size if keep[-1] else 0
-            yield frame[pd.Series(keep, index=frame.index, dtype=bool)][["repo_id", "relative_path", "size_bytes"]]
+            yield frame.loc[pd.Series(keep, index=frame.index, dtype=bool), ["repo_id", "relative_path", "size_bytes"]]
 
-    ordered = marked.where("over").select("repo_id", "relative_path", "size_bytes", F.split("relative_path", "/").alias("walk")).repartition(n, "repo_id").sortWithinPartitions("repo_id", "walk").drop("walk")
-    return marked.where("not over").select("repo_id", "relative_path", "size_bytes").unionByName(ordered.mapInPandas(fold, schema))
+    return rows.mapInPandas(walk, "repo_id string, relative_path string, size_bytes long")
